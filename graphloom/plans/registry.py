@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.plans.fixtures import VIEWS
-from graphloom.session import configure
+from graphloom.session import configure, shared_dir
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -26,7 +26,7 @@ ORACLES: dict[str, str] = {}
 _NAME = re.compile(r"\bv_\w+|\b(?:" + "|".join(TABLES) + r")\b")
 
 
-def _needed(sql: str, spark: bool) -> list[str]:
+def _needed(sql: str) -> list[str]:
     order: list[str] = []
 
     def visit(text: str) -> None:
@@ -36,22 +36,56 @@ def _needed(sql: str, spark: bool) -> list[str]:
             if name in VIEWS:
                 visit(VIEWS[name])
                 order.append(name)
-            elif spark and name in TABLES:
-                order.append(name)
 
     visit(sql)
     return order
 
 
+# Graph views are derived once per session and stored, as the graph tables of a
+# deployment would be; memory and corpus views stay plain projections.
+STORED = {
+    "v_part", "v_nodes", "v_edges", "v_import_rows", "v_imports", "v_layer_members", "v_tour_members", "v_files",
+    "v_dirty_nodes", "v_dirty_edges",
+}
+_STORED_PATHS: dict[tuple[str, str, str], str] = {}
+
+
+def _source(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Path of a stored view, writing it on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED_PATHS:
+        path = f"{shared_dir(spark)}/views-{key[0]}/{sf_dir.strip('/').replace('/', '-')}/{name}"
+        _derive(spark, sf_dir, name).write.mode("overwrite").parquet(path)
+        _STORED_PATHS[key] = path
+    return _STORED_PATHS[key]
+
+
+def _derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ctes: dict[str, str] = {}
+
+    def visit(text: str) -> None:
+        for dep in dict.fromkeys(_NAME.findall(text)):
+            if dep in ctes:
+                continue
+            if dep in STORED and dep != name:
+                ctes[dep] = f"SELECT * FROM parquet.`{_source(spark, sf_dir, dep)}`"
+            elif dep in VIEWS:
+                visit(VIEWS[dep])
+                ctes[dep] = VIEWS[dep].replace("ARR(", "array(").replace("TSUS(", "timestamp_micros(")
+            else:
+                ctes[dep] = f"SELECT * FROM parquet.`{sf_dir}/{dep}.parquet`"
+
+    visit(name)
+    heads = ", ".join(f"{dep} AS ({body})" for dep, body in ctes.items())
+    return spark.sql(f"WITH {heads} SELECT * FROM {name}")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view, or a driver table, as a DataFrame."""
     configure(spark)
-    ctes = []
-    for dep in _needed(f"SELECT * FROM {name}", spark=True):
-        body = VIEWS.get(dep) or f"SELECT * FROM parquet.`{sf_dir}/{dep}.parquet`"
-        body = body.replace("ARR(", "array(").replace("TSUS(", "timestamp_micros(")
-        ctes.append(f"{dep} AS ({body})")
-    return spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}")
+    if name in STORED:
+        return spark.read.parquet(_source(spark, sf_dir, name))
+    return _derive(spark, sf_dir, name)
 
 
 def oracle(sql: str) -> str:
@@ -61,7 +95,7 @@ def oracle(sql: str) -> str:
     own = ""
     if body.upper().startswith("WITH"):
         own = body[len("WITH RECURSIVE") if recursive else len("WITH"):].strip()
-    ctes = [f"{n} AS ({VIEWS[n]})" for n in _needed(body, spark=False)]
+    ctes = [f"{n} AS ({VIEWS[n]})" for n in _needed(body)]
     head = "WITH RECURSIVE " if recursive else "WITH "
     if own:
         text = head + ", ".join([*ctes, own])

@@ -51,12 +51,11 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix="graphloom-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
