@@ -113,7 +113,7 @@ def query(name: str, sql: str | None = None):
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = oracle(sql)
+            ORACLES[name] = sql
         return fn
 
     return wrap
