@@ -221,11 +221,12 @@ def fuzzy(
         .withColumn("d", F.levenshtein("q", "token") / F.greatest("m", "n"))
         .filter(F.col("d") <= threshold).select("q", "token", "d")
     )
-    inside = (
-        vocabulary.select("token", F.explode(_substrings(F.col("token"))).alias("q")).join(words.select("q"), "q")
-        .select("q", "token", F.lit(0.0).alias("d"))
-    )
-    pairs = close.unionByName(inside).groupBy("q", "token").agg(F.min("d").alias("d"))
+    # the distinct lengths of query words: a handful of small numbers
+    lengths = sorted(r["m"] for r in words.filter("m >= 3").select("m").distinct().toLocalIterator())
+    if lengths:
+        inside = vocabulary.select("token", F.explode(_substrings(F.col("token"), lengths)).alias("q"))
+        close = close.unionByName(inside.join(words.select("q"), "q").select("q", "token", F.lit(0.0).alias("d")))
+    pairs = close.groupBy("q", "token").agg(F.min("d").alias("d"))
     weight = F.lit(0.0)
     for name, w in FIELD_WEIGHTS.items():
         weight = F.when(F.col("field") == name, F.lit(w)).otherwise(weight)
@@ -240,14 +241,12 @@ def fuzzy(
     return top_k(hits, ["query_id"], [F.round("score", 9), F.col("id")], k)
 
 
-def _substrings(token: Column) -> Column:
-    """Distinct substrings of a token of three characters or more (tokens are words)."""
-    n = F.length(token)
-    starts = F.when(n >= 3, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                starts, lambda i: F.transform(F.sequence(F.lit(3), n - i + 1), lambda length: F.substring(token, i, length))
-            )
-        )
-    )
+def _substrings(token: Column, lengths: list[int]) -> Column:
+    """Distinct substrings of a token with one of the given lengths."""
+
+    def of(length: int) -> Column:
+        last = F.length(token) - length + 1
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(token, i, F.lit(length)))
+
+    return F.array_distinct(F.concat(*[of(n) for n in lengths]))

@@ -167,7 +167,7 @@ def _(get):
     ).agg(F.count("*").alias("n"))
 
 
-VIEWS["v_queries"] = "SELECT item_id AS query_id, regexp_extract(lower(text), '([a-z]+ [a-z]+ [a-z]+ [a-z]+)', 1) AS query FROM benchmark"
+VIEWS["v_queries"] = "SELECT item_id AS query_id, replace(lower(text), chr(10), ' ') AS query FROM benchmark"
 VIEWS["v_ring"] = """SELECT 'g1' AS group_id, 'the' AS word FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'g1', 'that' FROM region WHERE r_regionkey = 0
  UNION ALL SELECT 'g1', 'this' FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'g2', 'on' FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'g2', 'of' FROM region WHERE r_regionkey = 0
  UNION ALL SELECT 'g3', lower(r_name) FROM region"""
