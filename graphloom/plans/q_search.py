@@ -7,8 +7,8 @@ from graphloom.plans.fixtures import VIEWS
 from graphloom.plans.registry import query
 
 VIEWS["v_docs"] = "SELECT doc_id AS id, text FROM documents"
-VIEWS["v_vectors"] = "SELECT vec_id AS id, embedding AS vector, CASE label WHEN 0 THEN 'file' WHEN 1 THEN 'function' ELSE 'document' END AS type FROM embeddings"
-VIEWS["v_vector_queries"] = "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)"
+VIEWS["v_vectors"] = "SELECT vec_id AS id, embedding AS vector, label, CASE label WHEN 0 THEN 'file' WHEN 1 THEN 'function' ELSE 'document' END AS type FROM embeddings"
+VIEWS["v_vector_queries"] = "SELECT vec_id AS query_id, embedding AS vector, label FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)"
 
 O_POST = """o_tok AS (SELECT id, unnest(regexp_extract_all(lower(text), '([a-z0-9_]+|[一-鿿])', 1)) AS term FROM v_docs),
  o_tf AS (SELECT id, term, count(*) AS tf FROM o_tok GROUP BY 1, 2),
@@ -34,11 +34,11 @@ def _(get):
 
 @query(
     "fn19_cosine",
-    """SELECT a.id, q.query_id, round(list_cosine_similarity(a.vector::DOUBLE[], q.vector::DOUBLE[]), 5) AS sim FROM v_vectors a, v_vector_queries q""",
+    """SELECT a.id, q.query_id, round(list_cosine_similarity(a.vector::DOUBLE[], q.vector::DOUBLE[]), 5) AS sim FROM v_vectors a JOIN v_vector_queries q USING (label)""",
 )
 def _(get):
-    # the probe set holds one vector per label
-    pairs = get("v_vectors").join(F.broadcast(get("v_vector_queries").withColumnRenamed("vector", "qv")))
+    # each vector against the first vector of its label
+    pairs = get("v_vectors").join(get("v_vector_queries").withColumnRenamed("vector", "qv"), "label")
     return pairs.select("id", "query_id", F.round(search.cosine(F.col("vector"), F.col("qv")), 5).alias("sim"))
 
 
