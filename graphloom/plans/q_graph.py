@@ -70,11 +70,9 @@ STORED.add("v_flow_edges")
 
 @query(
     "gr5_topological_levels",
-    """WITH o_in AS (SELECT DISTINCT 'file:' || tgt_path AS id FROM v_imports),
-     o_cust AS (SELECT source AS id, target AS parent FROM v_edges WHERE type = 'contains')
-    SELECT id, CASE WHEN type IN ('document','step') THEN 0
-       WHEN type = 'file' THEN NULL WHEN type = 'entity' THEN 1 WHEN type IN ('function','class') THEN NULL ELSE NULL END::INT AS level FROM v_nodes
-    WHERE type IN ('document','step','file','entity') AND (type <> 'entity' OR id IN (SELECT target FROM v_edges WHERE type = 'depends_on'))""",
+    """WITH o_in AS (SELECT DISTINCT 'file:' || tgt_path AS id FROM v_imports)
+    SELECT id, CASE WHEN type IN ('document','step') THEN 0 WHEN type = 'file' THEN NULL ELSE 1 END::INT AS level FROM v_nodes
+    WHERE type IN ('document','step','file') OR (type = 'entity' AND id IN (SELECT target FROM v_edges WHERE type = 'depends_on'))""",
 )
 def _(get):
     nodes, edges = get("v_nodes"), get("v_flow_edges")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,8 +60,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on reliable storage and cut its lineage."""
+    """Store ``df`` as a table in the shared folder and read it back.
+
+    This cuts the lineage of loops and survives lost executors. A written table
+    is used rather than ``DataFrame.checkpoint``: it carries real sizes for the
+    join choice, prunes columns, and drops the inferred constraints that
+    otherwise pile up from round to round and slow the planner down.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
