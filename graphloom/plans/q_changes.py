@@ -89,8 +89,8 @@ def _(get):
 
 @query(
     "st8_category_layers",
-    f"""WITH {O_JN13}, o_t AS (SELECT 'layer:' || lower(r_name) AS layer_id, 'topic:' || lower(r_name) AS t, r_regionkey AS pos FROM region),
-     o_m AS (SELECT layer_id, source AS node_id, pos FROM v_wiki_edges JOIN o_t ON target = t WHERE type = 'categorized_under' UNION ALL SELECT layer_id, t, pos FROM o_t),
+    f"""WITH {O_JN13}, o_t AS (SELECT 'layer:' || replace(lower(r_name), ' ', '-') AS layer_id, 'topic:' || replace(lower(r_name), ' ', '-') AS t, r_regionkey AS pos FROM region),
+     o_m AS (SELECT layer_id, source AS node_id, pos FROM v_wiki_edges JOIN o_t ON target = t WHERE type = 'categorized_under' UNION ALL SELECT layer_id, t, pos FROM o_t WHERE t IN (SELECT id FROM v_wiki_nodes)),
      o_l AS (SELECT node_id AS aid, arg_max(layer_id, pos) AS layer_id FROM o_m GROUP BY 1),
      o_p AS (SELECT layer_id, node_id FROM o_m UNION SELECT layer_id, id FROM o_home JOIN o_l ON aid = article_id)
     SELECT * FROM o_p UNION ALL SELECT 'layer:other', id FROM v_wiki_nodes WHERE id NOT IN (SELECT node_id FROM o_p)""",

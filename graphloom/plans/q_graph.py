@@ -71,7 +71,7 @@ STORED.add("v_flow_edges")
 @query(
     "gr5_topological_levels",
     """WITH o_in AS (SELECT DISTINCT 'file:' || tgt_path AS id FROM v_imports)
-    SELECT id, CASE WHEN type IN ('document','step') THEN 0 WHEN type = 'file' THEN NULL ELSE 1 END::INT AS level FROM v_nodes
+    SELECT id, CASE WHEN type IN ('document','step') THEN 0 WHEN type = 'file' THEN -1 ELSE 1 END::INT AS level FROM v_nodes
     WHERE type IN ('document','step','file') OR (type = 'entity' AND id IN (SELECT target FROM v_edges WHERE type = 'depends_on'))""",
 )
 def _(get):
@@ -82,7 +82,7 @@ def _(get):
     shown = kinds.filter("type IN ('document', 'step', 'file')").union(
         kinds.filter("type = 'entity'").join(called, "id", "left_semi")
     )
-    return levels.join(shown.select("id"), "id", "left_semi")
+    return levels.join(shown.select("id"), "id", "left_semi").select("id", F.coalesce("level", F.lit(-1)).alias("level"))
 
 
 VIEWS["v_import_edges"] = "SELECT 'file:' || src_path AS source, 'file:' || tgt_path AS target, 'imports' AS type FROM v_imports"
