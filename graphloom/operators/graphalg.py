@@ -96,28 +96,33 @@ def trajectory(nodes: DataFrame, edges: DataFrame, node_id: str, max_hops: int =
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Weakly connected components as ``(id, component)``; a component is named
-    by its smallest id (GR4). Minimum labels spread along edges and labels are
-    then replaced by the label of the label, so rounds grow with the logarithm
-    of the diameter."""
-    adj = checkpointed(adjacency(edges).filter("src <> dst").distinct())
-    labels = checkpointed(nodes.select("id", F.col("id").alias("component")))
-    while True:
-        offered = (
-            adj.join(labels.withColumnRenamed("id", "dst"), "dst")
-            .groupBy(F.col("src").alias("id")).agg(F.min("component").alias("offer"))
+    by its smallest id (GR4).
+
+    Every component hooks onto its smallest neighbour component, hooks are
+    shortened by pointer jumping, and the links are contracted to links between
+    the merged components. Links shrink each round and rounds grow with the
+    logarithm of the size, long chains included.
+    """
+    links = checkpointed(adjacency(edges).filter("src <> dst").distinct())
+    labels = nodes.select("id", F.col("id").alias("component"))
+    while not links.isEmpty():
+        hooks = checkpointed(
+            links.groupBy(F.col("src").alias("root")).agg(F.min("dst").alias("_m"))
+            .select("root", F.least("root", "_m").alias("hook"))
         )
-        lowered = labels.join(offered, "id", "left").select(
-            "id", F.col("component").alias("old"), F.least("component", "offer").alias("component")
+        for _ in range(3):
+            onward = hooks.select(F.col("root").alias("hook"), F.col("hook").alias("_next"))
+            hooks = hooks.join(onward, "hook").select("root", F.col("_next").alias("hook"))
+        hooks = checkpointed(hooks)
+        labels = checkpointed(
+            labels.join(hooks.withColumnRenamed("root", "component"), "component", "left")
+            .select("id", F.coalesce("hook", "component").alias("component"))
         )
-        # labels also hook onto the component of their own label
-        roots = lowered.groupBy(F.col("old").alias("root")).agg(F.min("component").alias("_hook"))
-        hooked = lowered.join(roots.withColumnRenamed("root", "component"), "component", "left").select(
-            "id", "old", F.least("component", "_hook").alias("component")
+        links = checkpointed(
+            links.join(hooks.toDF("src", "_s"), "src").join(hooks.toDF("dst", "_d"), "dst")
+            .select(F.col("_s").alias("src"), F.col("_d").alias("dst")).filter("src <> dst").distinct()
         )
-        state = checkpointed(hooked)
-        labels = state.select("id", "component")
-        if state.filter("old <> component").isEmpty():
-            return labels
+    return labels
 
 
 def component_report(labels: DataFrame, min_size: int = 2, k: int = 12) -> DataFrame:
