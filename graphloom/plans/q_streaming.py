@@ -25,7 +25,7 @@ def _folded(df, order, fold):
     rows, root = _as_stream(df, order)
     q, table = tables.fold_stream(rows, f"{root}/state", fold)
     q.awaitTermination()
-    return table.version(q.lastProgress["batchId"])
+    return table.latest()
 
 
 @query("ss1_stream_slots", ORACLES["ss1_live_slots"])

@@ -23,12 +23,18 @@ class StateTable:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.last = -1
 
     def version(self, n: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v{n}")
 
     def write(self, state: DataFrame, n: int) -> None:
         state.write.mode("overwrite").parquet(f"{self.path}/v{n}")
+        self.last = n
+
+    def latest(self) -> DataFrame:
+        """State after the last micro-batch this process has written."""
+        return self.version(self.last)
 
 
 def fold_stream(
