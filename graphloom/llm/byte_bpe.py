@@ -17,12 +17,12 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import whole
+from graphloom.llm.common import bind, whole
 from graphloom.session import checkpointed
 
 ZERO, MARK, END = "\ue000", "\ue001", "\ue002"
@@ -61,11 +61,6 @@ def bucket(buckets: Column, key: Column, size: int) -> Column:
     return F.get(buckets, (F.crc32(key.cast("binary")) % size).cast("int"))
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 class Codec:
     """Encoding and decoding Columns for one rank file."""
 
