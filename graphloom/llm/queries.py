@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import byte_bpe, line_dedup, mixing, near_dedup, quality, token_counts
+from graphloom.llm import byte_bpe, line_dedup, mixing, near_dedup, quality, token_counts, vector_file
 from graphloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_exact_search", vector_file.ORACLE)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vector_file.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    vectors = rows.select("id", vector_file.integers("v").alias("v"))
+    return vector_file.exact_top_k(vectors, vectors.filter("id % 100 = 0"))
+
+
 @query("op8_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
