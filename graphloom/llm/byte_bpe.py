@@ -196,8 +196,9 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.withColumn("symbols", codec.encode("text", codec.frequent(docs)))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every whole text."""
+def round_trip(docs: DataFrame, path: str, pattern: str, tokens: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every whole text, and
+    ``tokens``, the ids as packed integers, if asked for."""
     codec = Codec(path, pattern)
     texts = docs.select("doc_id", "text")
     symbols = texts.select("doc_id", codec.encode("text", codec.frequent(texts)).alias("symbols"))
@@ -205,4 +206,5 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         "doc_id", F.length("symbols").cast("long").alias("n_tokens"),
         F.sha2(little_endian(F.col("symbols")), 256).alias("ids_sha256"),
         F.sha2(codec.decode(ids(F.col("symbols"))), 256).alias("decoded_sha256"),
+        *([little_endian(F.col("symbols")).alias("tokens")] if tokens else []),
     )

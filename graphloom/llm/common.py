@@ -21,11 +21,17 @@ ARROW = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, with the session settings the operators rely on."""
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the settings the operators rely on."""
     configure(spark)
     for key, value in ARROW.items():
         spark.conf.set(key, value)
+    return spark
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table."""
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import byte_bpe, licenses, line_dedup, mixing, near_dedup, quality, token_counts, toxicity, vector_file
+from graphloom.llm import byte_bpe, licenses, line_dedup, mixing, near_dedup, ngram_lm, quality, token_counts, toxicity, vector_file
 from graphloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_file.exact_top_k(vectors, vectors.filter("id % 100 = 0"))
 
 
+@query("op7_lm_scores")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 @query("op8_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
