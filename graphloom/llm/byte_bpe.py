@@ -4,8 +4,8 @@ A symbol is one character of the basic plane: its code point is the token id (a
 private-use character stands for id 0, which ``translate`` cannot produce). A
 word is then a string, a merge is ``replace(word, pair, merged)``, and the
 lowest merged character among the adjacent pairs is the lowest rank. The rank
-map is a literal: an array of buckets, found by the CRC of a pair, whose strings
-hold ``mark left right merged`` entries, so a look-up costs the same whatever
+map is a literal: an array of buckets, found by the hash of a pair, whose strings
+hold ``mark left right merged left right`` entries, so a look-up costs the same whatever
 the vocabulary.
 
 Frequent distinct words are folded once and become a second literal map of
@@ -16,9 +16,9 @@ is shuffled.
 from __future__ import annotations
 
 import base64
-import zlib
 from collections.abc import Iterable
 
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ from graphloom.llm.common import bind, whole
 from graphloom.session import checkpointed
 
 ZERO, MARK, END = "\ue000", "\ue001", "\ue002"
-PAIR_BUCKETS, WORD_BUCKETS = 1 << 13, 1 << 15
+PAIR_BUCKETS, WORD_BUCKETS = 1 << 16, 1 << 16
 #: Most words of the literal word map, and words folded together in a text.
 FREQUENT = 200_000
 CHUNK = 2048
@@ -53,12 +53,13 @@ def bucketed(entries: Iterable[tuple[str, str]], size: int) -> Column:
     """Literal array of bucket strings for (key, value) entries."""
     buckets = [MARK] * size
     for key, value in entries:
-        buckets[zlib.crc32(key.encode()) % size] += key + value + MARK
+        at = xxhash.xxh64_intdigest(key, 42) ^ (1 << 63)  # xxhash64 of Spark, plus 2^63
+        buckets[(at - (1 << 63)) % size] += key + value + MARK
     return F.split(F.lit("\n".join(buckets)), "\n")  # folded into one literal by the optimiser
 
 
 def bucket(buckets: Column, key: Column, size: int) -> Column:
-    return F.get(buckets, (F.crc32(key.cast("binary")) % size).cast("int"))
+    return F.get(buckets, F.pmod(F.xxhash64(key), F.lit(size)).cast("int"))
 
 
 class Codec:
@@ -71,7 +72,7 @@ class Codec:
         self.bytes_from = "".join(map(chr, range(256)))
         self.bytes_to = "".join(symbol(rank[bytes([b])]) for b in range(256))
         self.ranks = bucketed((
-            (symbol(rank[p[:k]]) + symbol(rank[p[k:]]), symbol(r))
+            (left := symbol(rank[p[:k]]) + symbol(rank[p[k:]]), symbol(r) + left)
             for p, r in rank.items() for k in range(1, len(p)) if p[:k] in rank and p[k:] in rank
         ), PAIR_BUCKETS)
         self.piece_table = F.split(F.lit(MARK.join(p.decode("latin-1") for p in self.pieces)), MARK)
@@ -86,12 +87,13 @@ class Codec:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
     def _lowest(self, word: Column, ranks: Column) -> Column:
-        """``merged left right`` of the lowest-rank pair; from ``MARK`` on there is none."""
+        """``merged left right`` of the lowest-rank pair; from ``MARK`` on there is none,
+        since every bucket begins with it."""
 
         def merged(pair: Column) -> Column:
             key = F.concat(F.lit(MARK), pair)
             found = F.call_function("substring_index", bucket(ranks, pair, PAIR_BUCKETS), key, F.lit(-1))
-            return F.concat(F.left(found, F.lit(1)), pair)
+            return F.left(found, F.lit(3))
 
         places = F.sequence(F.lit(1), F.length(word) - 1)
         short = F.transform(places, lambda k: merged(F.substring(word, k, 2)))
