@@ -8,9 +8,9 @@ registers give a first Jaccard estimate, corrected for chance collisions; full
 shingle sets decide.
 
 Documents of equal shingle sets are one class. Within a band the classes are
-compared with the smallest of it; those of other components are compared further
-until every pair of components in a band has met, so no link is lost, and no
-pair is made inside a component.
+compared with a few pivots of it, which joins most of them; then those of
+different components are compared with each other, so no link that joins two
+components is lost, and no pair is made inside a component.
 """
 
 from __future__ import annotations
@@ -18,19 +18,21 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import whole
 from graphloom.operators.graphalg import components
 from graphloom.session import checkpointed
 
-P = 8
+P = 9
 R = 10
 #: Registers of a band; 42 bands of 6 miss a pair at 0.8 with chance 3e-6.
-ROWS = 6
+ROWS, BANDS = 6, 42
 #: Estimates are dropped if so many deviations below the threshold.
-DEVIATIONS = 6
+DEVIATIONS = 5
+#: Members of one band that are compared in one task at a time.
+BLOCK = 1024
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 CACHE = 500_000
 
@@ -120,10 +122,10 @@ def sketched(docs: DataFrame, width: int, p: int = P, r: int = R) -> DataFrame:
     return docs.select("doc_id", F.pandas_udf(run, SKETCH)(whole("text")).alias("s")).select("doc_id", "s.*")
 
 
-def bands(sketch: str, p: int = P, rows: int = ROWS) -> Column:
+def bands(sketch: str, rows: int = ROWS, n: int = BANDS) -> Column:
     """Hashes of the bands of a packed sketch."""
     size = 2 * rows
-    return F.array(*[F.xxhash64(F.lit(k), F.substring(sketch, k * size + 1, size)) for k in range((1 << p) // rows)])
+    return F.array(*[F.xxhash64(F.lit(k), F.substring(sketch, k * size + 1, size)) for k in range(n)])
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -135,14 +137,17 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", F.pandas_udf(run, "binary")(whole("text")).alias("shingles"))
 
 
+def least_estimate(size: np.ndarray, registers: int, threshold: float) -> np.ndarray:
+    """Estimates below this are no links; short texts have fewer registers of their own."""
+    return threshold - DEVIATIONS * np.sqrt(threshold * (1 - threshold) / np.minimum(size, registers))
+
+
 def _close(threshold: float, r: int):
     def run(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype=bool)
         x, y = (np.frombuffer(b"".join(c), np.uint16).reshape(len(c), -1) for c in (a, b))
-        size = np.minimum(n.to_numpy(), x.shape[1])  # short texts have fewer registers of their own
-        least = threshold - DEVIATIONS * np.sqrt(threshold * (1 - threshold) / size)
-        return pd.Series(estimate(x, y, r) >= least)
+        return pd.Series(estimate(x, y, r) >= least_estimate(n.to_numpy(), x.shape[1], threshold))
 
     return run
 
@@ -160,8 +165,10 @@ def _linked(percent: int):
 
 
 def comparable(percent: int) -> Column:
-    """Whether sets of ``_na`` and ``_nb`` shingles can reach the threshold."""
-    return (F.col("_na") * 100 >= F.col("_nb") * percent) & (F.col("_nb") * 100 >= F.col("_na") * percent)
+    """Whether two different sets of ``_na`` and ``_nb`` shingles can reach the
+    threshold: they share all of the smaller one at most, one less if equally large."""
+    most = F.least("_na", "_nb") - (F.col("_na") == F.col("_nb")).cast("int")
+    return most * 100 >= (F.col("_na") + F.col("_nb") - most) * percent
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,14 +184,75 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
     )
 
 
-def _across(member: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Untried pairs of members of one band in different components."""
+def _pivot_pairs(banded: DataFrame, percent: int) -> DataFrame:
+    """Every member of a band with a few of it: the smallest, the one that meets
+    most others over all its bands (the likely original of a group of copies) and
+    one by hash. These links join most of a group."""
+    met = banded.groupBy("rep").agg(F.sum("n").alias("met"))
+    rows = banded.join(met, "rep").select("band", "rep", "n_shingles", "met")
+    entry = F.struct(F.col("rep").alias("a"), F.col("n_shingles").alias("_na"))
+    pivots = rows.groupBy("band").agg(F.array_distinct(F.array(
+        F.min(entry), F.max_by(entry, F.struct("met", -F.col("rep"))), F.min_by(entry, F.xxhash64("rep")))).alias("pivots"))
+    pairs = rows.toDF("band", "b", "_nb", "_met").join(pivots, "band").select("b", "_nb", F.inline("pivots"))
+    return pairs.filter((F.col("a") != F.col("b")) & comparable(percent)).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _block_pairs(group: pd.DataFrame, threshold: float, r: int) -> pd.DataFrame:
+    """Pairs of one block pair of a band, of different components, whose
+    estimate allows a link. A row of registers meets all later ones at once."""
+    group = group.drop_duplicates("rep")
+    own = group["chunk"].to_numpy() == group["x"].to_numpy()
+    first, second = (group, group) if (group["x"] == group["y"]).all() else (group[own], group[~own])
+    regs = [np.frombuffer(b"".join(g["sketch"]), np.uint16).reshape(len(g), -1) for g in (first, second)]
+    rep, size, part = ([g[c].to_numpy() for g in (first, second)] for c in ("rep", "n_shingles", "component"))
+    out = []
+    for k in range(len(first)):
+        small, large = np.minimum(size[0][k], size[1]), np.maximum(size[0][k], size[1])
+        go = np.flatnonzero((part[0][k] != part[1]) & (small >= threshold * large))
+        if first is second:
+            go = go[go > k]
+        if len(go):
+            near = estimate(regs[0][k:k + 1], regs[1][go], r) >= least_estimate(small[go], regs[1].shape[1], threshold)
+            out += [(min(rep[0][k], b), max(rep[0][k], b)) for b in rep[1][go[near]]]
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def _compared(threshold: float, r: int):
+    def run(batches):
+        kept = None
+        for pdf in batches:
+            pdf = pdf if kept is None else pd.concat([kept, pdf])
+            keys = pdf[["band", "x", "y"]].to_numpy()
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for lo, hi in zip(np.r_[0, cuts[:-1]], cuts):
+                yield _block_pairs(pdf.iloc[lo:hi], threshold, r)
+            kept = pdf.iloc[cuts[-1] if len(cuts) else 0:]  # the last group may go on
+        if kept is not None and len(kept):
+            yield _block_pairs(kept, threshold, r)
+
+    return run
+
+
+def _across(member: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one band in different components that may be linked.
+
+    The members of such bands are compared block by block inside tasks; only
+    pairs that pass the estimate become rows. Blocks are bounded, so a band of
+    any size is spread over its block pairs.
+    """
     several = member.groupBy("band").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
-    rest = checkpointed(member.join(several, "band").select("band", "rep", "n_shingles", "component"))
-    pairs = rest.toDF("band", "a", "_na", "_ca").join(rest.toDF("band", "b", "_nb", "_cb"), "band").filter(
-        (F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & comparable(percent))
-    return pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high")
+    order = Window.partitionBy("band").orderBy("rep")
+    rest = checkpointed(
+        member.join(several.select("band", "n"), "band")
+        .withColumn("chunk", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("int"))))
+        .select("band", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "rep",
+                "component")
+    )
+    blocks = rest.join(reps, "rep").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+    return blocks.mapInPandas(_compared(percent / 100, R), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -201,21 +269,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     )
     banded = classes.select("rep", "n_shingles", F.explode(bands("sketch")).alias("band"))
-    crowded = banded.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    banded = checkpointed(banded.join(crowded.select("band", "head"), "band"))
+    crowded = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    banded = checkpointed(banded.join(crowded, "band"))
     inside = checkpointed(banded.select(F.col("rep").alias("id")).distinct())
     reps = classes.select("rep", "n_shingles", "sketch").join(inside.toDF("rep"), "rep", "left_semi")
     sets = checkpointed(shingle_sets(
         docs.join(inside.toDF("doc_id"), "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
-    pairs = checkpointed(banded.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct())
-    links, tried = _verified(pairs, reps, sets, percent), pairs
-    while True:
+    pairs = checkpointed(_pivot_pairs(banded, percent))
+    links = _verified(pairs, reps, sets, percent)
+    labels = components(inside, links.toDF("source", "target")).toDF("rep", "component")
+    more = _verified(checkpointed(_across(banded.select("band", "rep").join(labels, "rep"), reps, percent)), reps, sets, percent)
+    if not more.isEmpty():
+        links = links.unionByName(more)
         labels = components(inside, links.toDF("source", "target")).toDF("rep", "component")
-        pairs = checkpointed(_across(banded.join(labels, "rep"), tried, percent))
-        if pairs.isEmpty():
-            break
-        links = checkpointed(links.unionByName(_verified(pairs, reps, sets, percent)))
-        tried = checkpointed(tried.unionByName(pairs))
     named = classes.select("class", "rep").join(labels, "rep", "left").select(
         "class", F.coalesce("component", "rep").alias("component"))
     return known.join(named, "class", "left").select(
