@@ -85,40 +85,54 @@ def noisy_or(p: np.ndarray) -> float:
 def fit(texts: list[str], toxic: np.ndarray, min_docs: int = MIN_DOCS, most: int = FEATURES,
         rounds: int = ROUNDS, l1: float = 1e-4) -> Model:
     """Weights from texts and their labels, by Adam on the mean log loss."""
-    bags = [[words(t[a:b]) for a, b in sentences(t)] for t in texts]
-    vocabulary = {w: k for k, w in enumerate(sorted(set().union(*[s for b in bags for s in b])))}
-    parts = [features(w) for w in vocabulary]
-    df: dict[str, int] = {}
-    for bag in bags:
-        for f in {f for w in set().union(*bag) for f in parts[vocabulary[w]]}:
-            df[f] = df.get(f, 0) + 1
-    chosen = sorted((f for f, n in df.items() if n >= min_docs), key=lambda f: (-df[f], f))[:most]
-    ids = {f: k for k, f in enumerate(chosen)}
-    held = [[ids[f] for f in fs if f in ids] for fs in parts]
-    of_word = np.repeat(np.arange(len(held)), [len(x) for x in held])
-    feature = np.fromiter((k for x in held for k in x), np.int64)
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    flat = [np.fromiter((vocabulary[w] for w in s), np.int64) for b in bags for s in b]
+    vocabulary: dict[str, int] = {}
+    names: dict[str, int] = {}
+    parts: list[np.ndarray] = []  # features of each word
+    flat: list[np.ndarray] = []  # words of each sentence, as numbers: strings are kept once
+    sizes, df = [], np.zeros(0, np.int64)
+    for text in texts:
+        spans = sentences(text)
+        sizes.append(len(spans))
+        for a, b in spans:
+            row = sorted(words(text[a:b]))
+            for w in row:
+                if w not in vocabulary:
+                    vocabulary[w] = len(vocabulary)
+                    parts.append(np.array([names.setdefault(f, len(names)) for f in features(w)], np.int32))
+            flat.append(np.array([vocabulary[w] for w in row], np.int32))
+        held = np.unique(np.concatenate(flat[-len(spans):])) if spans else []
+        if len(held):
+            hit = np.unique(np.concatenate([parts[w] for w in held]))
+            df = np.r_[df, np.zeros(max(0, len(names) - len(df)), np.int64)] if len(names) > len(df) else df
+            df[hit] += 1
+    order = np.lexsort((np.arange(len(df)), -df))  # frequent features first, then those met first
+    order = order[df[order] >= min_docs][:most]
+    ids = np.full(len(names), -1)
+    ids[order] = np.arange(len(order))
+    of_word = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    feature = ids[np.concatenate(parts)] if parts else np.empty(0, np.int64)
+    of_word, feature = of_word[feature >= 0], feature[feature >= 0]
+    doc = np.repeat(np.arange(len(sizes)), sizes)
     sent = np.repeat(np.arange(len(flat)), [len(x) for x in flat])
     word = np.concatenate(flat) if flat else np.empty(0, np.int64)
     y = toxic.astype(bool)
     base = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
-    theta = np.zeros(len(chosen) + 1)  # the last is the bias
-    theta[-1] = np.log(base) - np.log(max(1.0, len(flat) / max(1, len(bags))))
+    theta = np.zeros(len(order) + 1)  # the last is the bias
+    theta[-1] = np.log(base) - np.log(max(1.0, len(flat) / max(1, len(sizes))))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1 if len(y) and y.any() and not y.all() else 1):
-        by_word = np.bincount(of_word, theta[feature], len(held))
+        by_word = np.bincount(of_word, theta[feature], len(parts))
         z = np.bincount(sent, by_word[word], len(flat)) + theta[-1]
         p = np.minimum(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 - 1e-9)
-        whole_p = np.clip(-np.expm1(np.bincount(doc, np.log1p(-p), len(bags))), 1e-9, 1)
-        g = np.where(y[doc], -(1 - whole_p[doc]) / whole_p[doc] * p, p) / len(bags)
-        g_word = np.bincount(word, g[sent], len(held))
-        grad = np.r_[np.bincount(feature, g_word[of_word], len(chosen)), g.sum()]
+        whole_p = np.clip(-np.expm1(np.bincount(doc, np.log1p(-p), len(sizes))), 1e-9, 1)
+        g = np.where(y[doc], -(1 - whole_p[doc]) / whole_p[doc] * p, p) / len(sizes)
+        g_word = np.bincount(word, g[sent], len(parts))
+        grad = np.r_[np.bincount(feature, g_word[of_word], len(order)), g.sum()]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta -= 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-6)
         theta[:-1] = np.sign(theta[:-1]) * np.maximum(np.abs(theta[:-1]) - 0.05 * l1 / (
             np.sqrt(v[:-1] / (1 - 0.99 ** t)) + 1e-6), 0)  # keeps few weights
-    return Model({f: float(theta[k]) for f, k in ids.items() if theta[k]}, float(theta[-1]))
+    return Model({f: float(theta[ids[k]]) for f, k in names.items() if ids[k] >= 0 and theta[ids[k]]}, float(theta[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> Model:
