@@ -122,24 +122,21 @@ TEST_NAME_RULES = {
     ".cc": (["test_"], ["_test"]),
 }
 
-# Language -> extensions.
+# Extension -> language.
 LANGUAGE_EXTS = {
-    "typescript": [".ts", ".tsx"],
-    "javascript": [".js", ".jsx", ".mjs", ".cjs"],
-    "python": [".py", ".pyi"],
-    "go": [".go"], "rust": [".rs"], "java": [".java"], "kotlin": [".kt", ".kts"],
-    "csharp": [".cs"], "swift": [".swift"], "lua": [".lua"],
-    "ruby": [".rb", ".rake"], "php": [".php"],
-    "c": [".c", ".h"], "cpp": [".cpp", ".cc", ".cxx", ".hpp", ".hxx"],
-    "vue": [".vue"], "svelte": [".svelte"],
-    "shell": [".sh", ".bash", ".zsh"], "powershell": [".ps1", ".psm1", ".psd1"], "batch": [".bat", ".cmd"],
-    "html": [".html", ".htm"], "css": [".css", ".scss", ".sass", ".less"],
-    "markdown": [".md", ".mdx", ".rst"],
-    "yaml": [".yaml", ".yml"], "json": [".json"], "jsonc": [".jsonc"], "toml": [".toml"],
-    "xml": [".xml", ".xsl", ".xsd", ".plist"], "config": [".cfg", ".ini", ".env"],
-    "sql": [".sql"], "graphql": [".graphql", ".gql"], "protobuf": [".proto"], "prisma": [".prisma"],
-    "csv": [".csv", ".tsv"], "terraform": [".tf", ".tfvars"], "gradle": [".gradle"],
-    "csproj": [".csproj"], "sln": [".sln"], "properties": [".properties"], "mod": [".mod"], "sum": [".sum"],
+    ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript",
+    ".cjs": "javascript", ".py": "python", ".pyi": "python", ".go": "go", ".rs": "rust", ".java": "java",
+    ".kt": "kotlin", ".kts": "kotlin", ".cs": "csharp", ".swift": "swift", ".lua": "lua", ".rb": "ruby",
+    ".rake": "ruby", ".php": "php", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp",
+    ".hxx": "cpp", ".vue": "vue", ".svelte": "svelte", ".sh": "shell", ".bash": "shell", ".zsh": "shell",
+    ".ps1": "powershell", ".psm1": "powershell", ".psd1": "powershell", ".bat": "batch", ".cmd": "batch",
+    ".html": "html", ".htm": "html", ".css": "css", ".scss": "css", ".sass": "css", ".less": "css",
+    ".md": "markdown", ".mdx": "markdown", ".rst": "markdown", ".yaml": "yaml", ".yml": "yaml", ".json": "json",
+    ".jsonc": "jsonc", ".toml": "toml", ".xml": "xml", ".xsl": "xml", ".xsd": "xml", ".plist": "xml",
+    ".cfg": "config", ".ini": "config", ".env": "config", ".sql": "sql", ".graphql": "graphql", ".gql": "graphql",
+    ".proto": "protobuf", ".prisma": "prisma", ".csv": "csv", ".tsv": "csv", ".tf": "terraform",
+    ".tfvars": "terraform", ".gradle": "gradle", ".csproj": "csproj", ".sln": "sln", ".properties": "properties",
+    ".mod": "mod", ".sum": "sum",
 }
 
 # Language by exact file name.
@@ -148,15 +145,16 @@ LANGUAGE_FILENAMES = {
     "Jenkinsfile": "jenkinsfile", "Procfile": "procfile", "Vagrantfile": "vagrantfile",
 }
 
-# File category -> extensions.
+# Extension -> file category.
 CATEGORY_EXTS = {
-    "docs": [".md", ".mdx", ".rst", ".txt", ".text"],
-    "config": [".yaml", ".yml", ".json", ".jsonc", ".toml", ".xml", ".xsl", ".xsd", ".plist", ".cfg", ".ini",
-               ".env", ".properties", ".csproj", ".sln", ".mod", ".sum", ".gradle"],
-    "infra": [".tf", ".tfvars"],
-    "data": [".sql", ".graphql", ".gql", ".proto", ".prisma", ".csv", ".tsv"],
-    "script": [".sh", ".bash", ".zsh", ".ps1", ".psm1", ".psd1", ".bat", ".cmd"],
-    "markup": [".html", ".htm", ".css", ".scss", ".sass", ".less"],
+    ".md": "docs", ".mdx": "docs", ".rst": "docs", ".txt": "docs", ".text": "docs", ".yaml": "config",
+    ".yml": "config", ".json": "config", ".jsonc": "config", ".toml": "config", ".xml": "config", ".xsl": "config",
+    ".xsd": "config", ".plist": "config", ".cfg": "config", ".ini": "config", ".env": "config",
+    ".properties": "config", ".csproj": "config", ".sln": "config", ".mod": "config", ".sum": "config",
+    ".gradle": "config", ".tf": "infra", ".tfvars": "infra", ".sql": "data", ".graphql": "data", ".gql": "data",
+    ".proto": "data", ".prisma": "data", ".csv": "data", ".tsv": "data", ".sh": "script", ".bash": "script",
+    ".zsh": "script", ".ps1": "script", ".psm1": "script", ".psd1": "script", ".bat": "script", ".cmd": "script",
+    ".html": "markup", ".htm": "markup", ".css": "markup", ".scss": "markup", ".sass": "markup", ".less": "markup",
 }
 
 # File names that are always infrastructure.

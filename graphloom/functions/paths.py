@@ -34,7 +34,7 @@ def _dot_key(base: Column) -> Column:
 def language(path: Column) -> Column:
     base = last_segment(path)
     ext = F.lower(extension(base))
-    by_ext = dims.inverted(dims.LANGUAGE_EXTS)
+    by_ext = dims.LANGUAGE_EXTS
     return F.coalesce(
         F.when((base == "Dockerfile") | base.startswith("Dockerfile."), "dockerfile"),
         lookup(by_ext, _dot_key(base)),
@@ -47,7 +47,7 @@ def language(path: Column) -> Column:
 
 def category(path: Column) -> Column:
     base = last_segment(path)
-    by_ext = dims.inverted(dims.CATEGORY_EXTS)
+    by_ext = dims.CATEGORY_EXTS
     infra = (
         base.isin(dims.INFRA_FILENAMES)
         | base.startswith("Dockerfile.")

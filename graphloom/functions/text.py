@@ -43,12 +43,43 @@ def sensitivity(text: Column) -> Column:
     )
 
 
+def _spans(text: Column, place: int, rx: str) -> Column:
+    """``(begin, place, end)`` of every match in the original text: what lies
+    between the matches gives their places."""
+    hits = F.regexp_extract_all(text, F.lit(rx), F.lit(0))
+    pairs = F.arrays_zip(F.split(text, rx).alias("gap"), hits.alias("hit"))
+    none = F.array().cast("array<struct<begin:int,place:int,end:int>>")
+
+    def step(acc: Column, p: Column) -> Column:
+        begin = acc["at"] + F.length(p["gap"])
+        span = F.struct(begin.alias("begin"), F.lit(place).alias("place"), (begin + F.length(p["hit"])).alias("end"))
+        return F.when(p["hit"].isNull(), acc).otherwise(
+            F.struct(span["end"].alias("at"), F.array_append(acc["out"], span).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    return F.when(text.rlike(rx), F.aggregate(pairs, start, step)["out"]).otherwise(none)
+
+
 def redact(text: Column, patterns: dict[str, str] | None = None) -> Column:
-    """Replace personal data by typed placeholders, kind by kind in fixed order (TX9)."""
-    out = text
-    for kind, rx in (patterns or dims.PII_PATTERNS).items():
-        out = F.regexp_replace(out, rx, f"[REDACTED_{kind.upper()}]")
-    return out
+    """Replace personal data by typed placeholders (TX9).
+
+    All kinds are found in the original text. Overlapping finds are one span,
+    which takes the placeholder of the first of them, so no part of any find
+    stays in clear.
+    """
+    found = patterns or dims.PII_PATTERNS
+    spans = F.array_sort(F.concat(*[_spans(text, k, rx) for k, rx in enumerate(found.values())]))
+    names = F.array(*[F.lit(f"[REDACTED_{kind.upper()}]") for kind in found])
+
+    def step(acc: Column, s: Column) -> Column:
+        shown = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["begin"] - acc["at"]), F.get(names, s["place"]))
+        return F.when(
+            s["begin"] >= acc["at"], F.struct(s["end"].alias("at"), shown.alias("out"))
+        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(
+        spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 FRONT_MATTER = r"(?s)\A---\n(.*?)\n---\s*\n"

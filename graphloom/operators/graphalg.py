@@ -168,14 +168,15 @@ def simple_undirected(edges: DataFrame) -> DataFrame:
     )
 
 
-def communities(nodes: DataFrame, edges: DataFrame, levels: int = 3, rounds: int = 6) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Modularity communities ``(id, community)`` (GR6).
 
     Multi-level local moving: every node scores its neighbour communities by
-    modularity gain in one grouped aggregate; nodes of alternating hash parity
-    move at once, which keeps two neighbours from swapping forever; communities
-    are then contracted to nodes. A level whose moves do not raise modularity is
-    not taken. Isolated nodes keep a community of their own.
+    modularity gain in one grouped aggregate; a new half of the nodes, by a hash,
+    moves at once each round, which keeps two neighbours from swapping forever,
+    until nothing moves or modularity stops rising; communities are then
+    contracted to nodes. Levels go on until one does not raise modularity.
+    Isolated nodes keep a community of their own.
     """
     adj = checkpointed(simple_undirected(edges))
     total = adj.agg(F.sum("w")).first()[0] or 0.0
@@ -184,8 +185,8 @@ def communities(nodes: DataFrame, edges: DataFrame, levels: int = 3, rounds: int
         return member
     best_q = _modularity_value(adj, member, total)
     graph = adj
-    for _ in range(levels):
-        placed = _local_moves(graph, total, rounds)
+    while True:
+        placed = _local_moves(graph, total)
         joined = member.join(placed.withColumnRenamed("id", "community"), "community", "left").select(
             "id", F.coalesce("new", "community").alias("community")
         )
@@ -202,12 +203,13 @@ def communities(nodes: DataFrame, edges: DataFrame, levels: int = 3, rounds: int
     return member
 
 
-def _local_moves(graph: DataFrame, total: float, rounds: int) -> DataFrame:
+def _local_moves(graph: DataFrame, total: float) -> DataFrame:
     degree = checkpointed(graph.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")))
     state = checkpointed(degree.select("id", "k", F.col("id").alias("new")))
     links = graph.filter("src <> dst")
-    idle = 0
-    for r in range(rounds):
+    best, best_q = state, _modularity_value(graph, state.select("id", F.col("new").alias("community")), total)
+    idle = stale = r = 0
+    while idle < 2 and stale < 4:
         sizes = state.groupBy("new").agg(F.sum("k").alias("tot"))
         near = (
             links.join(state.select(F.col("id").alias("dst"), "new"), "dst")
@@ -227,16 +229,18 @@ def _local_moves(graph: DataFrame, total: float, rounds: int) -> DataFrame:
             F.max("gain").alias("top"),
             F.max(F.when(F.col("new") == F.col("home"), F.col("gain"))).alias("stay"),
         )
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
+        turn = F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2
         moves = turn & (F.col("top") > F.col("stay") + 1e-9)
         nxt = checkpointed(
             chosen.select("id", "k", F.when(moves, F.col("best")).otherwise(F.col("home")).alias("new"), moves.alias("moved"))
         )
         idle = idle + 1 if nxt.filter("moved").isEmpty() else 0
-        state = nxt.select("id", "k", "new")
-        if idle == 2:
-            break
-    return state.select("id", "new")
+        state, r = nxt.select("id", "k", "new"), r + 1
+        q = _modularity_value(graph, state.select("id", F.col("new").alias("community")), total)
+        stale = stale + 1 if q <= best_q + 1e-9 else 0
+        if not stale:
+            best, best_q = state, q
+    return best.select("id", "new")
 
 
 def _modularity_parts(adj: DataFrame, member: DataFrame, total: float) -> DataFrame:
@@ -356,15 +360,15 @@ def heuristic_tour(nodes: DataFrame, edges: DataFrame, members: DataFrame | None
         ).withColumn("title", F.concat(F.lit("Step "), F.col("step").cast("string"), F.lit(": Code Walkthrough")))
     else:
         home = members.groupBy(F.col("node_id").alias("id")).agg(
-            F.max_by("layer_name", F.struct("layer_pos", "layer_id")).alias("title")
-        )
-        placed = checkpointed(ordered.join(home, "id", "left").select("id", "_level", "title"))
-        first = placed.filter("title IS NOT NULL").groupBy("title").agg(F.min(F.struct("_level", "id")).alias("_f"))
-        keys = first.select("title", F.col("_f._level").alias("_l"), F.col("_f.id").alias("_i"))
-        numbers = row_numbers(keys, [], ["_l", "_i"], "step").select("title", "step")
+            F.max_by(F.struct("layer_name", "layer_id"), F.struct("layer_pos", "layer_id")).alias("_h")
+        ).select("id", F.col("_h.layer_name").alias("title"), F.col("_h.layer_id").alias("layer_id"))
+        placed = checkpointed(ordered.join(home, "id", "left").select("id", "_level", "title", "layer_id"))
+        first = placed.filter("layer_id IS NOT NULL").groupBy("layer_id").agg(F.min(F.struct("_level", "id")).alias("_f"))
+        keys = first.select("layer_id", F.col("_f._level").alias("_l"), F.col("_f.id").alias("_i"))
+        numbers = row_numbers(keys, [], ["_l", "_i"], "step").select("layer_id", "step")
         last = numbers.agg((F.coalesce(F.max("step"), F.lit(0)) + 1).alias("step"))
-        loose = placed.filter("title IS NULL").select("id", F.lit("Supporting Components").alias("title"), F.lit(1).alias("_k"))
-        steps = placed.join(numbers, "title").select("id", "step", "title").unionByName(
+        loose = placed.filter("layer_id IS NULL").select("id", F.lit("Supporting Components").alias("title"), F.lit(1).alias("_k"))
+        steps = placed.join(numbers, "layer_id").select("id", "step", "title").unionByName(
             loose.join(last.withColumn("_k", F.lit(1)), "_k").select("id", "step", "title")
         )
     ideas = nodes.filter("type = 'concept'").select("id", F.lit("Key Concepts").alias("title"), F.lit(1).alias("_k"))
@@ -385,18 +389,15 @@ def mutual_pairs(edges: DataFrame, types: tuple[str, ...] = ("imports", "calls")
 
 
 def coupled_groups(edges: DataFrame, rounds: int = 3, max_size: int = 5, k: int = 10) -> DataFrame:
-    """``(group_id, id)`` of the k most linked small groups (GR11): seed pairs
-    grow by the node with most links (two at least) into the group."""
+    """``(group_id, id)`` of the k most linked small groups (GR11).
+
+    Every seed pair grows, each round by the node with most links (two at least)
+    into the group. Seeds that grow into one set are one group, named by the
+    smallest seed; groups rank by the links inside them.
+    """
     adj = checkpointed(simple_undirected(edges.filter(F.col("type").isin("imports", "calls"))).select("src", "dst"))
     seeds = mutual_pairs(edges).select(F.concat_ws("|", "a", "b").alias("group_id"), F.array("a", "b").alias("ids"))
-    # the seeds best linked to the rest of the graph are grown
-    degree = adj.groupBy("src").agg(F.count("*").alias("deg"))
-    ranked = (
-        seeds.select("group_id", "ids", F.explode("ids").alias("src")).join(degree, "src")
-        .groupBy("group_id", "ids").agg(F.sum("deg").alias("deg"))
-        .orderBy(F.col("deg").desc(), "group_id").limit(k)
-    )
-    groups = checkpointed(ranked.select("group_id", F.explode("ids").alias("id")))
+    groups = checkpointed(seeds.select("group_id", F.explode("ids").alias("id")))
     for _ in range(min(rounds, max_size - 2)):
         near = groups.withColumnRenamed("id", "src").join(adj, "src").groupBy("group_id", F.col("dst").alias("id")).agg(
             F.count("*").alias("links")
@@ -408,7 +409,13 @@ def coupled_groups(edges: DataFrame, rounds: int = 3, max_size: int = 5, k: int
         if best.isEmpty():
             break
         groups = checkpointed(groups.unionByName(best))
-    return groups
+    inner = (
+        groups.withColumnRenamed("id", "src").join(adj, "src").join(groups.withColumnRenamed("id", "dst"), ["group_id", "dst"])
+        .groupBy("group_id").agg((F.count("*") / 2).cast("long").alias("links"))
+    )
+    sets = groups.groupBy("group_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # max_size ids at most
+    ranked = sets.join(inner, "group_id").groupBy("ids", "links").agg(F.min("group_id").alias("group_id"))
+    return ranked.orderBy(F.col("links").desc(), "group_id").limit(k).select("group_id", F.explode("ids").alias("id"))
 
 
 def feature_clusters(nodes: DataFrame, edges: DataFrame, members: DataFrame, k: int = 12) -> DataFrame:

@@ -177,7 +177,8 @@ def cross_batch_neighbours(imports: DataFrame, batches: DataFrame, cap: int = 50
     the report means by neighbours, not a shortcut."""
     pairs = imports.select("src_path", "tgt_path").filter("src_path <> tgt_path")
     both = pairs.toDF("path", "nbr_path").union(pairs.select(F.col("tgt_path"), F.col("src_path"))).distinct()
-    degree = both.groupBy("path").agg(F.count("*").alias("degree"))
+    ends = pairs.toDF("path", "nbr_path").union(pairs.select("tgt_path", "src_path"))  # a mutual import counts twice
+    degree = ends.groupBy("path").agg(F.count("*").alias("degree"))
     home = batches.select("path", "batch_index")
     away = batches.select(F.col("path").alias("nbr_path"), F.col("batch_index").alias("nbr_batch"))
     rows = (
@@ -195,7 +196,7 @@ def similar_sessions(sessions: DataFrame, session_id: str) -> DataFrame:
         sessions.filter(F.col("id") == session_id).select(F.explode("tags").alias("tag")).distinct()
     )
     tagged = sessions.filter(F.col("id") != session_id).select("id", F.explode("tags").alias("tag"))
-    return tagged.join(F.broadcast(wanted), "tag").select("id").distinct()
+    return tagged.join(wanted, "tag").select("id").distinct()
 
 
 def cross_layer_files(nodes: DataFrame, edges: DataFrame, members: DataFrame, a: str, b: str) -> DataFrame:
@@ -214,12 +215,12 @@ def route_keywords(
     insights: DataFrame, keywords: DataFrame, min_weight: float = 0.0, k: int = 10
 ) -> tuple[DataFrame, DataFrame]:
     """Skills ranked by summed weights of matched keywords (JN18):
-    ``insights(skill, keyword, weight)``, ``keywords(keyword)``. Returns the
+    ``insights(skill, keyword, weight)``, ``keywords(keyword)``, matched as
+    given; insights below ``min_weight`` count for nothing. Returns the
     ranking and its matched keywords."""
-    wanted = keywords.select(F.lower("keyword").alias("keyword")).distinct()
-    hits = insights.withColumn("keyword", F.lower("keyword")).join(wanted, "keyword")
+    hits = insights.filter(F.col("weight") >= min_weight).join(keywords.select("keyword").distinct(), "keyword")
     ranked = (
-        hits.groupBy("skill").agg(F.sum("weight").alias("score")).filter(F.col("score") >= min_weight)
+        hits.groupBy("skill").agg(F.sum("weight").alias("score"))
         .orderBy(F.col("score").desc(), "skill").limit(k)
     )
     return ranked, hits.join(ranked, "skill", "left_semi").select("skill", "keyword").distinct()

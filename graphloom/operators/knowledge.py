@@ -2,58 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.dedup import pick_one
 from graphloom.session import checkpointed
 
-
-# Needles one task holds at a time.
-NEEDLE_BLOCK = 100_000
+# Characters of a seed; shorter needles are seeds themselves.
+GRAM = 4
 
 
-def _scanner(words: list[str]):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for w in words:
-            automaton.add_word(w, w)
-        automaton.make_automaton()
-        for pdf in batches:
-            first: dict[str, str] = {}
-            for h_id, body in zip(pdf["h_id"], pdf["text"]):
-                if body:
-                    for _, w in automaton.iter(body):
-                        if w not in first or h_id < first[w]:
-                            first[w] = h_id
-            yield pd.DataFrame({"needle": list(first), "h_id": list(first.values())}, dtype=object)
+def _grams(value: Column, length: int) -> Column:
+    return F.regexp_extract_all(value, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
 
-    return scan
 
+def containment_pairs(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
+    """``(n_id, h_id)`` for each ``needles(n_id, needle)`` inside a
+    ``haystacks(h_id, text)``; empty needles and null texts match nothing.
 
-def containment(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
-    """``needles(n_id, needle)`` inside ``haystacks(h_id, text)``: the smallest
-    ``h_id`` per needle.
-
-    No pair of rows is formed. Distinct needles are hashed into blocks of a
-    bounded size; each block is one pass over the texts with a multi-pattern
-    matcher, and a batch emits at most one row per needle.
+    Of a needle's character runs the rarest in the texts is its seed. Seeds meet
+    the distinct runs of the texts in an equi-join, and only those pairs are
+    compared, so the texts are read the same few times for any number of needles.
     """
     words = checkpointed(needles.select("needle").filter("needle <> ''").distinct())
-    blocks = max(1, -(-words.count() // NEEDLE_BLOCK))
-    found = None
-    for b in range(blocks):
-        part = [r["needle"] for r in words.filter(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == b).collect()]
-        if part:
-            hits = haystacks.select("h_id", "text").mapInPandas(_scanner(part), "needle string, h_id string")
-            found = hits if found is None else found.union(hits)
-    if found is None:
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    lengths = [r[0] for r in words.select(size).distinct().collect()]  # four small numbers at most
+    if not lengths:
         return needles.select("n_id", F.lit("").alias("h_id")).limit(0)
-    return found.groupBy("needle").agg(F.min("h_id").alias("h_id")).join(needles, "needle").select("n_id", "h_id")
+    own = F.lit(None)
+    for n in lengths:
+        own = F.when(size == n, _grams(F.col("needle"), n)).otherwise(own)
+    runs = words.select("needle", F.explode(F.array_distinct(own)).alias("gram"))
+    texts = haystacks.select("h_id", "text").filter("text IS NOT NULL")
+    posted = texts.select("h_id", F.explode(F.array_distinct(F.concat(*[_grams(F.col("text"), n) for n in lengths]))).alias("gram"))
+    posted = checkpointed(posted.join(runs.select("gram").distinct(), "gram", "left_semi"))
+    found = posted.groupBy("gram").agg(F.count("*").alias("n"))
+    seeds = (
+        runs.join(found, "gram", "left").groupBy("needle")
+        .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
+    )
+    near = posted.join(seeds, "gram").select("h_id", "needle")
+    hits = near.join(texts, "h_id").filter(F.contains("text", "needle")).select("needle", "h_id").distinct()
+    return hits.join(needles, "needle").select("n_id", "h_id")
+
+
+def containment(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
+    """The smallest ``h_id`` per needle (see :func:`containment_pairs`)."""
+    return containment_pairs(needles, haystacks).groupBy("n_id").agg(F.min("h_id").alias("h_id"))
 
 
 def attach_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -88,16 +83,11 @@ def attach_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         rest.select(F.col("id").alias("n_id"), F.col("stem").alias("needle")),
         bare.select(F.col("article_id").alias("h_id"), F.col("bare").alias("text")),
     ).toDF("id", "article_id")
-    # the other way round: substrings of a short stem, joined by equality to article names
-    n = F.length("stem")
-    pieces = F.flatten(
-        F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda m: F.substring("stem", i, m)))
-    )
-    names = bare.groupBy("bare").agg(F.min("article_id").alias("article_id"))
-    around = (
-        rest.filter("stem <> ''").select("id", F.explode(F.array_distinct(pieces)).alias("bare"))
-        .join(names, "bare").select("id", "article_id")
-    )
+    # the other way round: article names inside the stem
+    around = containment_pairs(
+        bare.select(F.col("article_id").alias("n_id"), F.col("bare").alias("needle")),
+        rest.select(F.col("id").alias("h_id"), F.col("stem").alias("text")),
+    ).groupBy("h_id").agg(F.min("n_id").alias("article_id")).select(F.col("h_id").alias("id"), "article_id")
     by_part = inside.union(around).groupBy("id").agg(F.min("article_id").alias("article_id"))
     by_part = checkpointed(by_part)
     rest = rest.join(by_part.select("id"), "id", "left_anti").filter("name <> ''")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graphloom import dims
 from graphloom.functions import text
 from graphloom.operators.ranking import top_k
+from graphloom.session import checkpointed
 
 # BM25 parameters.
 K1, B = 1.5, 0.75
@@ -39,9 +40,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         queries.select("query_id", F.explode(text.tokens(F.col("query"))).alias("term"))
         .groupBy("query_id", "term").agg(F.count("*").alias("q"))
     )
-    sizes = docs.select(F.size(text.tokens(F.col("text"))).alias("dl"))
-    corpus = sizes.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_dl"))
-    index = postings(docs).join(asked.select("term").distinct(), "term", "left_semi")
+    # one tokenisation, stored; only the terms asked for are counted per document
+    toks = checkpointed(docs.select("id", text.tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("dl"), "t"))
+    corpus = toks.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_dl"))
+    terms = toks.select("id", "dl", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    index = checkpointed(terms.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     norm = 1 - B + B * (F.col("dl") / F.when(F.col("avg_dl") > 0, F.col("avg_dl")).otherwise(1.0))
     weighted = (
@@ -98,6 +101,10 @@ def vector_top_k(
     counting at most ``QUERY_BLOCK`` + 1 rows, is sent to every task; a larger
     one is split into blocks that meet blocks of documents by a grouped join.
     """
+    def whole(df: DataFrame) -> DataFrame:  # a null vector, or one with nulls, matches nothing
+        return df.filter(F.col("vector").isNotNull() & F.coalesce(F.forall("vector", lambda x: x.isNotNull()), F.lit(False)))
+
+    docs, queries = whole(docs), whole(queries)
     types = {c: t for c, t in docs.dtypes}
     q_type = dict(queries.dtypes)["query_id"]
     schema = f"query_id {q_type}, id {types['id']}, score double"

@@ -272,15 +272,18 @@ def file_metrics(definitions: DataFrame, files: DataFrame) -> DataFrame:
     return out.na.fill(0, [f"n_{k}" for k in kinds])
 
 
+#: File names that usually start a program.
+ENTRY_NAMES = [
+    "index.ts", "index.js", "main.ts", "main.js", "app.ts", "app.js", "server.ts", "server.js", "mod.rs", "main.go",
+    "main.py", "main.rs", "manage.py", "app.py", "wsgi.py", "asgi.py", "run.py", "__main__.py", "Application.java",
+    "Main.java", "Program.cs", "config.ru", "index.php", "App.swift", "Application.kt", "main.cpp", "main.c",
+]
+
+
 def entry_candidates(files: DataFrame, fan: DataFrame) -> DataFrame:
     """Additive entry-point score per file (TK2): ``fan(path, fan_in,
     fan_out)``. The cuts are exact ranks taken from the histogram of degree
     values, never from a sort of all files in one task."""
-    names = (
-        "index.ts index.js main.ts main.js app.ts app.js server.ts server.js mod.rs main.go main.py main.rs manage.py "
-        "app.py wsgi.py asgi.py run.py __main__.py Application.java Main.java Program.cs config.ru index.php App.swift "
-        "Application.kt main.cpp main.c"
-    ).split()
     base = last_segment(F.col("path"))
     depth = F.size(F.split("path", "/")) - 1
     rows = files.select("path").join(fan, "path", "left").na.fill(0, ["fan_in", "fan_out"])
@@ -288,7 +291,7 @@ def entry_candidates(files: DataFrame, fan: DataFrame) -> DataFrame:
     low = percent_ranks(rows, "fan_in").withColumnRenamed("percent_rank", "_in_rank")
     is_doc = paths.extension(base).isin(".md")
     code = (
-        F.when(base.isin(names), 3).otherwise(0)
+        F.when(base.isin(ENTRY_NAMES), 3).otherwise(0)
         + F.when(depth <= 1, 1).otherwise(0)
         + F.when(F.col("_out_rank") >= 0.9, 1).otherwise(0)
         + F.when(F.col("_in_rank") <= 0.25, 1).otherwise(0)

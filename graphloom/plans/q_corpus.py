@@ -15,8 +15,8 @@ VIEWS["v_paths"] = """SELECT p_partkey AS seq, CASE p_partkey % 20 WHEN 0 THEN '
  WHEN 12 THEN 'src/a_test.go' WHEN 13 THEN 'src/FooTest.java' WHEN 14 THEN 'ui/x.spec.jsx' WHEN 15 THEN 'services/api/h.rs'
  WHEN 16 THEN '/abs//models/u.kt' WHEN 17 THEN './rel/utils/z.css' WHEN 18 THEN 'up/../x.c' ELSE path END AS path FROM v_part"""
 
-O_EXT = "o_x AS (" + values_cte(["e", "l"], list(dims.inverted(dims.LANGUAGE_EXTS).items())) + ")"
-O_CEXT = "o_c AS (" + values_cte(["e", "c"], list(dims.inverted(dims.CATEGORY_EXTS).items())) + ")"
+O_EXT = "o_x AS (" + values_cte(["e", "l"], list(dims.LANGUAGE_EXTS.items())) + ")"
+O_CEXT = "o_c AS (" + values_cte(["e", "c"], list(dims.CATEGORY_EXTS.items())) + ")"
 O_BASE = """o_b AS (SELECT seq, path, split_part(path, '/', -1) AS base, lower(regexp_extract(split_part(path, '/', -1), '^.+([.][^.]*)$', 1)) AS ext,
   lower(regexp_extract(split_part(path, '/', -1), '^([.][A-Za-z0-9]+)', 1)) AS dot FROM v_paths)"""
 
@@ -416,12 +416,27 @@ def _(get):
     return get("documents").select("doc_id", text.sensitivity(F.col("text")).alias("level"))
 
 
-_red = "text"
-for _k, _rx in _PII_SQL.items():
-    _red = f"regexp_replace({_red}, '{_rx}', '[REDACTED_{_k.upper()}]', 'g')"
+_red = " UNION ALL ".join(
+    f"""SELECT doc_id, {n} AS place, '[REDACTED_{k.upper()}]' AS shown, p + 1 AS i,
+        string_split_regex(text, '{rx}')[p + 1] AS gap, regexp_extract_all(text, '{rx}')[p + 1] AS hit
+        FROM (SELECT *, unnest(range(len(regexp_extract_all(text, '{rx}')))) AS p FROM documents)"""
+    for n, (k, rx) in enumerate(_PII_SQL.items())
+)
 
 
-@query("tx9_redacted", f"SELECT doc_id, sha256({_red}) AS redacted FROM documents")
+@query("tx9_redacted", f"""WITH o_m AS MATERIALIZED ({_red}), o_s AS (
+    SELECT doc_id, place, shown, sum(len(gap) + len(hit)) OVER w AS stop, sum(len(gap) + len(hit)) OVER w - len(hit) AS start
+    FROM o_m WINDOW w AS (PARTITION BY doc_id, place ORDER BY i)
+  ), o_c AS (
+    SELECT *, coalesce(max(stop) OVER (PARTITION BY doc_id ORDER BY start, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen
+    FROM o_s
+  ), o_p AS (
+    SELECT o_c.doc_id, start, substr(text, CAST(seen AS BIGINT) + 1, CAST(start - seen AS BIGINT)) || shown AS part
+    FROM o_c JOIN documents USING (doc_id) WHERE start >= seen
+  ), o_j AS (SELECT doc_id, string_agg(part, '' ORDER BY start) AS body FROM o_p GROUP BY 1),
+  o_e AS (SELECT doc_id, max(stop) AS stop FROM o_s GROUP BY 1)
+  SELECT doc_id, sha256(coalesce(body, '') || substr(text, CAST(coalesce(stop, 0) AS BIGINT) + 1)) AS redacted
+  FROM documents LEFT JOIN o_j USING (doc_id) LEFT JOIN o_e USING (doc_id)""")
 def _(get):
     return get("documents").select("doc_id", F.sha2(text.redact(F.col("text")), 256).alias("redacted"))
 

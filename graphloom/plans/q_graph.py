@@ -154,7 +154,28 @@ def _(get):
     return pairs.select(F.regexp_replace("a", "^file:", "").alias("a"), F.regexp_replace("b", "^file:", "").alias("b"))
 
 
-@query("gr11_coupled_groups")
+_grow = ", ".join(
+    f"""o_n{r} AS (SELECT g.group_id, a.dst AS id, count(*) AS links FROM o_g{r} g JOIN o_a a ON a.src = g.id GROUP BY 1, 2),
+    o_g{r + 1} AS (SELECT * FROM o_g{r} UNION ALL SELECT group_id, arg_min(id, (-links, id)) FROM o_n{r}
+      WHERE links >= 2 AND (group_id, id) NOT IN (SELECT group_id, id FROM o_g{r}) GROUP BY 1)"""
+    for r in range(3)
+)
+
+
+@query("gr11_coupled_groups", f"""WITH o_a AS MATERIALIZED (
+    SELECT source AS src, target AS dst FROM v_import_edges WHERE source <> target
+    UNION SELECT target, source FROM v_import_edges WHERE source <> target
+  ), o_s AS (
+    SELECT DISTINCT least(a.source, a.target) AS a, greatest(a.source, a.target) AS b
+    FROM v_import_edges a JOIN v_import_edges b ON a.source = b.target AND a.target = b.source AND a.type = b.type
+    WHERE a.source <> a.target
+  ), o_g0 AS (SELECT a || '|' || b AS group_id, unnest([a, b]) AS id FROM o_s), {_grow},
+  o_l AS (SELECT x.group_id, count(*) // 2 AS links FROM o_g3 x JOIN o_a ON o_a.src = x.id
+          JOIN o_g3 y ON y.group_id = x.group_id AND y.id = o_a.dst GROUP BY 1),
+  o_m AS (SELECT group_id, list(id ORDER BY id) AS ids FROM o_g3 GROUP BY 1),
+  o_t AS (SELECT ids, links, min(group_id) AS group_id FROM o_m JOIN o_l USING (group_id) GROUP BY 1, 2
+          ORDER BY links DESC, group_id LIMIT 10)
+  SELECT group_id, unnest(ids) AS id FROM o_t""")
 def _(get):
     return ga.coupled_groups(get("v_import_edges"))
 

@@ -195,7 +195,7 @@ def _(get):
 @query(
     "jn15_cross_batch_neighbours",
     """WITH o_b AS (SELECT src_path AS path, tgt_path AS nbr_path FROM v_imports UNION SELECT tgt_path, src_path FROM v_imports),
-     o_d AS (SELECT path, count(*) AS degree FROM o_b GROUP BY 1),
+     o_d AS (SELECT path, count(*) AS degree FROM (SELECT src_path AS path FROM v_imports WHERE src_path <> tgt_path UNION ALL SELECT tgt_path FROM v_imports WHERE src_path <> tgt_path) GROUP BY 1),
      o_r AS (SELECT b.path, b.nbr_path, y.batch_index AS nbr_batch, d.degree AS nbr_degree,
        row_number() OVER (PARTITION BY b.path ORDER BY d.degree DESC, b.nbr_path) AS rn
        FROM o_b b JOIN v_batches x ON x.path = b.path JOIN v_batches y ON y.path = b.nbr_path JOIN o_d d ON d.path = b.nbr_path
@@ -225,9 +225,9 @@ def _(get):
 
 VIEWS["v_insights"] = """SELECT 'skill' || CAST(p_size AS STRING) AS skill, p_name AS keyword,
  CAST(p_partkey % 10 AS DOUBLE) / 10 AS weight FROM part"""
-VIEWS["v_keywords"] = "SELECT DISTINCT upper(p_name) AS keyword FROM part WHERE p_name LIKE 'red%' OR p_name LIKE 'small%'"
-_O18 = """o_h AS (SELECT skill, lower(keyword) AS keyword, weight FROM v_insights WHERE lower(keyword) IN (SELECT lower(keyword) FROM v_keywords)),
- o_r AS (SELECT skill, sum(weight) AS score FROM o_h GROUP BY 1 HAVING sum(weight) >= 0.5 ORDER BY round(sum(weight), 6) DESC, skill LIMIT 10)"""
+VIEWS["v_keywords"] = "SELECT DISTINCT p_name AS keyword FROM part WHERE p_name LIKE 'red%' OR p_name LIKE 'small%'"
+_O18 = """o_h AS (SELECT skill, keyword, weight FROM v_insights WHERE weight >= 0.5 AND keyword IN (SELECT keyword FROM v_keywords)),
+ o_r AS (SELECT skill, sum(weight) AS score FROM o_h GROUP BY 1 ORDER BY round(sum(weight), 6) DESC, skill LIMIT 10)"""
 
 
 @query("jn18_route_keywords", f"WITH {_O18} SELECT skill, round(score, 4) AS score FROM o_r")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from graphloom.functions import hashing, text
-from graphloom.operators import corpus, graphalg, knowledge, memory, ranking, search, stats
+from graphloom.operators import corpus, graphalg, joins, knowledge, memory, ranking, search, stats
 from graphloom.streaming import tables
 
 E = "source string, target string, type string"
@@ -83,6 +83,40 @@ def test_coupled_groups_are_small_and_seeded(spark):
     assert got == {"a", "b", "c"}
 
 
+def test_coupled_groups_grow_before_the_cut(spark):
+    """Twelve plain pairs with many outside links do not hide a dense group."""
+    plain = [(f"p{k}", f"q{k}") for k in range(12)]
+    outside = [(f"p{k}", f"o{k}_{j}") for k in range(12) for j in range(9)]
+    dense = [(a, b) for a in ("ta", "tb", "tc", "td") for b in ("ta", "tb", "tc", "td") if a != b]
+    e = edge_frame(spark, plain + [(b, a) for a, b in plain] + outside + dense)
+    rows = graphalg.coupled_groups(e).collect()
+    groups = {g: {r.id for r in rows if r.group_id == g} for g in {r.group_id for r in rows}}
+    assert len(groups) == 10 and {"ta", "tb", "tc", "td"} in groups.values()
+    assert sum(v == {"ta", "tb", "tc", "td"} for v in groups.values()) == 1
+
+
+def test_redaction_covers_every_find(spark):
+    rows = ["card 4111 1111 1111 1111 end", "a@b.io, http://x.y/z 10.0.0.1", "", "nothing", "123-45-6789", "x" * 5000]
+    df = spark.createDataFrame([(t,) for t in rows] + [(None,)], "t string")
+    got = [r[0] for r in df.select(text.redact(F.col("t"))).collect()]
+    assert "1111" not in got[0] and got[0].startswith("card [REDACTED_") and got[0].endswith("end")
+    assert got[1] == "[REDACTED_EMAIL], [REDACTED_URL] [REDACTED_IPV4]"
+    assert got[2:4] == ["", "nothing"] and "6789" not in got[4] and got[5] == rows[5] and got[6] is None
+
+
+def test_routing_leaves_out_light_insights(spark):
+    insights = spark.createDataFrame(
+        [("s", "k", 0.4), ("s", "k", 0.4), ("t", "k", 0.6), ("u", "K", 0.9)], "skill string, keyword string, weight double")
+    ranked, _ = joins.route_keywords(insights, spark.createDataFrame([("k",)], "keyword string"), 0.5)
+    assert [(r.skill, r.score) for r in ranked.collect()] == [("t", 0.6)]
+
+
+def test_vector_search_skips_nulls(spark):
+    d = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [None, 1.0])], "id long, vector array<double>")
+    q = d.select(F.col("id").alias("query_id"), "vector")
+    assert [(r.query_id, r.id) for r in search.vector_top_k(d, q).collect()] == [(1, 1)]
+
+
 def test_vector_search_both_ways(spark, monkeypatch):
     rng = np.random.default_rng(3)
     docs = [(i, rng.normal(size=8).tolist()) for i in range(60)] + [(100, [1.0, 2.0])]
@@ -115,8 +149,18 @@ def test_hybrid_sums_raw_scores(spark):
     assert got == {"y": (1.6, "bm25,vector"), "x": (0.8, "bm25")}
 
 
-def test_containment_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(knowledge, "NEEDLE_BLOCK", 2)
+def test_containment_pairs_match_brute_force(spark):
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choice("abc. ") for _ in range(n))
+    needles = [(f"n{k}", make(rng.randint(0, 7))) for k in range(60)]
+    texts = [(f"h{k}", make(rng.randint(0, 40))) for k in range(40)] + [("h99", None)]
+    n = spark.createDataFrame(needles, "n_id string, needle string")
+    h = spark.createDataFrame(texts, "h_id string, text string")
+    want = {(i, j) for i, x in needles for j, t in texts if x and t and x in t}
+    assert {(r.n_id, r.h_id) for r in knowledge.containment_pairs(n, h).collect()} == want
+
+
+def test_containment_matches_brute_force(spark):
     n = spark.createDataFrame([("n1", "ab"), ("n2", "b"), ("n3", "zz"), ("n4", "ab"), ("n5", "")], "n_id string, needle string")
     h = spark.createDataFrame([("h2", "xabx"), ("h1", "b"), ("h3", "ab")], "h_id string, text string")
     got = {(r.n_id, r.h_id) for r in knowledge.containment(n, h).collect()}
