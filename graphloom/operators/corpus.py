@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom import dims
@@ -17,7 +19,7 @@ def lines_of(corpus: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-# Definition patterns per language, as (language, kind, regex); group 1 is the name.
+# Definition patterns per language, as (language, kind, regex); see NAME_FORMS for the name.
 DEFINITION_RULES = [
     ("sql", "table", r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"]?(\w+)"),
     ("sql", "view", r"(?i)CREATE\s+(?:OR\s+REPLACE\s+)?VIEW\s+[`\"]?(\w+)"),
@@ -27,8 +29,8 @@ DEFINITION_RULES = [
     ("protobuf", "service", r"^service\s+(\w+)\s*\{"),
     ("protobuf", "rpc", r"rpc\s+(\w+)\s*\("),
     ("graphql", "type", r"^(?:type|input|enum|interface|union|scalar)\s+(\w+)"),
-    ("terraform", "resource", r"^resource\s+\"([^\"]+\"\s+\"[^\"]+)\"\s*\{"),
-    ("terraform", "data", r"^data\s+\"([^\"]+\"\s+\"[^\"]+)\"\s*\{"),
+    ("terraform", "resource", r"^resource\s+\"([^\"]+)\"\s+\"([^\"]+)\"\s*\{"),
+    ("terraform", "data", r"^data\s+\"([^\"]+)\"\s+\"([^\"]+)\"\s*\{"),
     ("terraform", "module", r"^module\s+\"([^\"]+)\"\s*\{"),
     ("terraform", "variable", r"^variable\s+\"([^\"]+)\"\s*\{"),
     ("terraform", "output", r"^output\s+\"([^\"]+)\"\s*\{"),
@@ -37,9 +39,23 @@ DEFINITION_RULES = [
     ("toml", "section", r"^\s*\[\[?([^\]]+)\]?\]"),
     ("shell", "function", r"^(?:function\s+)?(\w+)\s*\(\s*\)\s*\{?"),
     ("shell", "function", r"^function\s+(\w+)\s*\{"),
-    ("dockerfile", "stage", r"(?i)^FROM\s+(\S+)"),
+    ("dockerfile", "stage", r"(?i)^FROM\s+(\S+)(?:\s+AS\s+(\S+))?"),
 ]
 
+# Names made of several groups; any other rule names by its first group.
+NAME_FORMS = {
+    ("terraform", "resource"): lambda one, two: F.concat(one, F.lit("."), two),
+    ("terraform", "data"): lambda one, two: F.concat(F.lit("data."), one, F.lit("."), two),
+    ("terraform", "module"): lambda one, two: F.concat(F.lit("module."), one),
+    # the alias of a stage, else its image without tag and path
+    ("dockerfile", "stage"): lambda one, two: F.when(two != "", two).otherwise(
+        F.substring_index(F.substring_index(one, ":", 1), "/", -1)),
+}
+
+# Lines and names that are no definitions.
+SKIPPED_LINES = {"makefile": r":=|\?="}
+SKIPPED_NAMES = {"makefile": r"^\.", "graphql": r"^(Query|Mutation|Subscription)$"}
+
 
 def definitions(corpus: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """``(path, kind, name, line_no)`` by table-driven patterns (TX4, UD5);
@@ -47,17 +63,32 @@ def definitions(corpus: DataFrame, rules: list[tuple[str, str, str]] | None = No
     chosen = rules or DEFINITION_RULES
     known = sorted({r[0] for r in chosen})
     rows = lines_of(corpus.filter(F.col("language").isin(known)), "path", "language")
-    hits = F.array(
-        *[
-            F.when(
-                (F.col("language") == lang) & F.col("line").rlike(rx),
-                F.struct(F.lit(kind).alias("kind"), F.regexp_extract("line", rx, 1).alias("name")),
-            )
-            for lang, kind, rx in chosen
-        ]
+    hits = F.flatten(F.array(*[_finds(lang, kind, rx) for lang, kind, rx in chosen]))
+    found = rows.select("path", "language", "line_no", F.inline(F.array_distinct(hits)))
+    # a method carries the service that is open at its line; a file is read in order
+    order = Window.partitionBy("path").orderBy("line_no")
+    methods = found.filter("language = 'protobuf' AND kind IN ('service', 'rpc')").withColumn(
+        "service", F.last(F.when(F.col("kind") == "service", F.col("name")), ignorenulls=True).over(order))
+    named = methods.filter("kind = 'rpc'").withColumn("name", F.concat_ws(".", "service", "name"))
+    plain = found.filter("NOT (language = 'protobuf' AND kind = 'rpc')")
+    return plain.select("path", "kind", "name", "line_no").unionByName(named.select("path", "kind", "name", "line_no"))
+
+
+def _finds(lang: str, kind: str, rx: str) -> Column:
+    """Every match of one rule in a line, as structs of kind and name."""
+    form = NAME_FORMS.get((lang, kind), lambda one, two: one)
+    second = F.regexp_extract_all("line", F.lit(rx), F.lit(2)) if re.compile(rx).groups > 1 else None
+    names = F.transform(
+        F.regexp_extract_all("line", F.lit(rx), F.lit(1)),
+        lambda one, i: form(one, F.get(second, i) if second is not None else F.lit("")),
     )
-    found = F.array_distinct(F.filter(hits, lambda h: h.isNotNull()))
-    return rows.select("path", "line_no", F.inline(found)).select("path", "kind", "name", "line_no")
+    if lang in SKIPPED_NAMES:
+        names = F.filter(names, lambda n: ~n.rlike(SKIPPED_NAMES[lang]))
+    here = F.col("language") == lang
+    if lang in SKIPPED_LINES:
+        here &= ~F.col("line").rlike(SKIPPED_LINES[lang])
+    found = F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+    return F.when(here, found).otherwise(F.array().cast("array<struct<kind:string,name:string>>"))
 
 
 def _heading_lines(content: Column) -> Column:

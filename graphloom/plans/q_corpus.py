@@ -255,14 +255,15 @@ O_LINES = """o_ln AS (SELECT path, language, unnest(string_split(content, chr(10
 @query(
     "tx4_definitions",
     f"""WITH {O_LINES}, o_d AS (
-     SELECT path, 'table' AS kind, regexp_extract(line, '^CREATE TABLE ["`]?(\\w+)', 1) AS name, line_no FROM o_ln WHERE language = 'sql'
+     SELECT path, 'table' AS kind, unnest(list_distinct(regexp_extract_all(line, '(?i)CREATE\\s+TABLE\\s+(?:IF\\s+NOT\\s+EXISTS\\s+)?["`]?(\\w+)', 1))) AS name, line_no FROM o_ln WHERE language = 'sql'
      UNION ALL SELECT path, 'message', 'M', line_no FROM o_ln WHERE language = 'protobuf'
      UNION ALL SELECT path, 'type', regexp_extract(line, '^type (\\w+)', 1), line_no FROM o_ln WHERE language = 'graphql'
      UNION ALL SELECT path, 'variable', 'v', line_no FROM o_ln WHERE language = 'terraform'
      UNION ALL SELECT path, 'variable', 'KEY_A', line_no FROM o_ln WHERE language = 'env'
-     UNION ALL SELECT path, 'target', regexp_extract(line, '^([a-zA-Z_.][a-zA-Z0-9_.-]*)(?:\\s+.*)?:', 1), line_no FROM o_ln WHERE language = 'makefile'
+     UNION ALL SELECT path, 'target', regexp_extract(line, '^([a-zA-Z_.][a-zA-Z0-9_.-]*)(?:\\s+.*)?:', 1), line_no FROM o_ln WHERE language = 'makefile' AND NOT regexp_matches(line, ':=|\\?=')
      UNION ALL SELECT path, 'function', 'run', line_no FROM o_ln WHERE language = 'shell'
-     UNION ALL SELECT path, 'stage', regexp_extract(line, '^FROM\\s+(\\S+)', 1), line_no FROM o_ln WHERE language = 'dockerfile')
+     UNION ALL SELECT path, 'stage', coalesce(nullif(regexp_extract(line, '(?i)^FROM\\s+(\\S+)(?:\\s+AS\\s+(\\S+))?', 2), ''),
+       string_split(string_split(regexp_extract(line, '^FROM\\s+(\\S+)', 1), ':')[1], '/')[-1]), line_no FROM o_ln WHERE language = 'dockerfile')
     SELECT path, kind, name, line_no FROM o_d""",
 )
 def _(get):

@@ -95,6 +95,26 @@ def test_coupled_groups_grow_before_the_cut(spark):
     assert sum(v == {"ta", "tb", "tc", "td"} for v in groups.values()) == 1
 
 
+def test_definition_names(spark):
+    files = [
+        ("a.tf", "terraform", 'resource "aws_s3_bucket" "main" {\ndata "aws_ami" "ubuntu" {\nmodule "m" {\nvariable "v" {'),
+        ("Makefile", "makefile", ".PHONY: all\nX := a:b\nY ?= c:d\nall: build\n\tgo:"),
+        ("q.graphql", "graphql", "type Query {\ntype User {\ninput NewUser {"),
+        ("Dockerfile", "dockerfile", "FROM node:20 AS build\nFROM reg/x/nginx:1\nfrom alpine"),
+        ("s.proto", "protobuf", "service A {\n  rpc Get (X)\n}\nservice B {\n  rpc Put (Y)\n}"),
+        ("s.sql", "sql", "create table a (x int); CREATE TABLE b (y int);"),
+    ]
+    df = spark.createDataFrame(files, "path string, language string, content string")
+    got = defaultdict(list)
+    for r in corpus.definitions(df).orderBy("line_no", "name").collect():
+        got[r.path].append(r.name)
+    assert dict(got) == {
+        "a.tf": ["aws_s3_bucket.main", "data.aws_ami.ubuntu", "module.m", "v"], "Makefile": ["all"],
+        "q.graphql": ["User", "NewUser"], "Dockerfile": ["build", "nginx", "alpine"],
+        "s.proto": ["A", "A.Get", "B", "B.Put"], "s.sql": ["a", "b"],
+    }
+
+
 def test_redaction_covers_every_find(spark):
     rows = ["card 4111 1111 1111 1111 end", "a@b.io, http://x.y/z 10.0.0.1", "", "nothing", "123-45-6789", "x" * 5000]
     df = spark.createDataFrame([(t,) for t in rows] + [(None,)], "t string")
