@@ -1,6 +1,6 @@
 """Elias-Fano sequences in numpy: monotone integers in little memory.
 
-The low bytes of each value stand in an array; the rest is a bit vector in which
+The low bits of each value stand in an array, in whole bytes; the rest is a bit vector in which
 the i-th one lies at ``(value >> bits) + i``. Counts of ones per 512 bits make
 both kinds of select a search in a small array.
 """
@@ -43,7 +43,7 @@ def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, zeros: bool) -
 class EliasFano:
     def __init__(self, meta, low, words, ones):
         self.n, self.size, self.bits = (int(x) for x in meta)
-        self.low, self.words = low, words
+        self.low, self.words = np.asarray(low), np.asarray(words)  # views of the mapped files
         self.ones = np.asarray(ones)
         self.zeros = np.arange(len(self.ones)) * 512 - self.ones
 
@@ -52,9 +52,9 @@ class EliasFano:
         """From non-decreasing values, all below ``universe``."""
         values = np.ascontiguousarray(values, "<u8")
         n = len(values)
-        size = min(7, max(0, round((math.log2(max(universe, 1)) - math.log2(max(n, 1))) / 8)))
-        bits = 8 * size
-        low = values.view(np.uint8).reshape(n, 8)[:, :size].copy()
+        bits = min(56, max(0, int(math.log2(max(universe, 1)) - math.log2(max(n, 1)))))
+        size = (bits + 7) // 8
+        low = (values & np.uint64((1 << bits) - 1)).view(np.uint8).reshape(n, 8)[:, :size].copy()
         length = n + (int(universe) >> bits) + 2
         flags = np.zeros((length + 511) // 512 * 512, bool)
         flags[(values >> np.uint64(bits)).astype(np.int64) + np.arange(n)] = True

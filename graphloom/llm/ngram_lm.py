@@ -93,14 +93,15 @@ class Words:
 
     def count(self, numbers: np.ndarray) -> np.ndarray:
         """Training count of known words, 0 for -1."""
-        out = np.zeros(len(numbers), np.int64)
-        shard = np.searchsorted(self.starts, numbers, side="right") - 1
-        for s in np.unique(shard[numbers >= 0]):
-            mine = np.flatnonzero((shard == s) & (numbers >= 0))
-            at = numbers[mine] - self.starts[s]
+        distinct, back = np.unique(numbers, return_inverse=True)
+        out = np.zeros(len(distinct), np.int64)
+        shard = np.searchsorted(self.starts, distinct, side="right") - 1
+        for s in np.unique(shard[distinct >= 0]):
+            mine = np.flatnonzero((shard == s) & (distinct >= 0))
+            at = distinct[mine] - self.starts[s]
             sums = self.sums[s]
             out[mine] = (sums.access(at + 1) - sums.access(at)).astype(np.int64)
-        return out
+        return out[back]
 
 
 class Level:
@@ -154,25 +155,26 @@ class Trie:
         self.words = Words(spec["words"])
         self.levels = [Level(x, spec["vocabulary"]) for x in spec["levels"]]
 
-    def contexts(self, ids: np.ndarray, start: np.ndarray, depth: int) -> np.ndarray:
-        """Number of the n-gram of ``depth`` words before each word (-1: none).
-        The end of a text is also what stands before its first word."""
-        before = np.r_[-1, ids[:-1]]
-        before[start] = self.spec["end"]
-        if depth == 1:
-            return before
-        shorter = self.contexts(ids, start, depth - 1)
-        moved = np.r_[-1, shorter[:-1]]
-        moved[start] = -1
-        return self.levels[depth - 2].look(moved, before)[0]
+    def walk(self, ids: np.ndarray, start: np.ndarray):
+        """For each level the contexts before the words and what the level says
+        of them. The end of a text is also what stands before its first word;
+        the n-gram that ends at a word is the next word's longer context."""
+        context = np.r_[-1, ids[:-1]]
+        context[start] = self.spec["end"]
+        for level in self.levels:
+            number, p, left = level.look(context, ids)
+            yield context, number, p, left
+            context = np.r_[-1, number[:-1]]
+            context[start] = -1
+        yield context, None, None, None
 
     def probability(self, ids: np.ndarray, start: np.ndarray, counts: np.ndarray) -> np.ndarray:
         total, kinds = self.spec["total"], self.spec["vocabulary"]
         d = self.spec["discount"]
         out = np.where(counts > 0, (counts - d) / max(total, 1), max(d * kinds / total, 0.1 / total) if total else 1.0)
-        for depth, level in enumerate(self.levels, 1):
-            _, p, left = level.look(self.contexts(ids, start, depth), ids)
-            out = p + left * out
+        for _, number, p, left in self.walk(ids, start):
+            if number is not None:
+                out = p + left * out
         return out
 
 
@@ -256,8 +258,8 @@ def _batched(texts: pd.Series, trie: Trie, step: int = 256):
         yield trie.words.number([w for x in some for w in x]), start, sizes
 
 
-def count_grams(texts: DataFrame, spec: str, depth: int) -> DataFrame:
-    """``context, word, c`` of the n-grams of ``depth`` words and one more, whose
+def count_grams(texts: DataFrame, spec: str) -> DataFrame:
+    """``context, word, c`` of the n-grams one word longer than the last level, whose
     context is kept and whose last words can be."""
     def run(batches):
         trie = opened(spec)
@@ -276,16 +278,15 @@ def count_grams(texts: DataFrame, spec: str, depth: int) -> DataFrame:
 
         for pdf in batches:
             for ids, start, _ in _batched(pdf["text"], trie):
-                context = trie.contexts(ids, start, depth)
-                if depth == 1:  # a word seen once is in no pair seen twice
+                *levels, (context, _, _, _) = trie.walk(ids, start)
+                keep = (context >= 0) & (ids >= 0)
+                if levels:  # the n-gram without its first word must be kept too
+                    keep &= levels[-1][1] >= 0
+                else:  # a word seen once is in no pair seen twice
                     often = trie.words.count(ids) >= MIN_COUNT
                     before = np.r_[False, often[:-1]]
                     before[start] = True
-                    keep = (context >= 0) & (ids >= 0) & often & before
-                else:  # the n-gram without its first word must be kept too
-                    shorter = trie.contexts(ids, start, depth - 1)
-                    keep = context >= 0
-                    keep[keep] = trie.levels[depth - 2].look(shorter[keep], ids[keep])[0] >= 0
+                    keep &= often & before
                 keys, c = np.unique(context[keep] * v + ids[keep], return_counts=True)
                 pending.append((keys, c))
                 held += len(keys)
@@ -319,7 +320,7 @@ def train(docs: DataFrame, order: int = ORDER) -> str:
     spec["end"] = int(Words(spec["words"]).number([END])[0])
     for depth in range(1, order):
         text = json.dumps(spec)
-        grams = checkpointed(count_grams(texts, text, depth))
+        grams = checkpointed(count_grams(texts, text))
         n = grams.count()
         if not n:
             break
