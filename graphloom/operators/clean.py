@@ -55,8 +55,10 @@ def fix_nodes(nodes: DataFrame) -> DataFrame:
 
 def fix_edges(edges: DataFrame) -> DataFrame:
     """Defaults, aliases, weight coercion and clamping (CL3); ``weight`` comes
-    as text and leaves as a double."""
+    as text and leaves as a double. ``weight_is_text``, where the reader gives
+    it, tells the weights that were text in the source; without it all were."""
     c = F.col
+    as_text = c("weight_is_text") if "weight_is_text" in edges.columns else F.lit(True)
     alias = lookup(dims.DIRECTION_ALIASES, c("direction"))
     leading = F.regexp_extract("weight", r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
     number = F.when(c("weight").isNull(), 0.5).otherwise(F.coalesce(leading.try_cast("double"), F.lit(0.5)))
@@ -65,7 +67,7 @@ def fix_edges(edges: DataFrame) -> DataFrame:
         _issue(blank(c("direction")), "direction", "missing-field"),
         _issue(alias.isNotNull(), "direction", "alias"),
         _issue(c("weight").isNull(), "weight", "missing-field"),
-        _issue(c("weight").isNotNull(), "weight", "type-coercion"),
+        _issue(c("weight").isNotNull() & as_text, "weight", "type-coercion"),
         _issue((c("_number") < 0) | (c("_number") > 1), "weight", "out-of-range"),
     )
     return (

@@ -74,13 +74,14 @@ def _(get):
     return stores.restore(rows).select("id", "scope", "lifecycle", "access_count")
 
 
-@query("io1_graph_json", "SELECT id, type, name, file_path FROM v_nodes WHERE type IN ('domain', 'flow', 'step', 'file')")
+@query("io1_graph_json", "SELECT id, type, name, file_path FROM v_nodes")
 def _(get):
-    nodes = get("v_nodes").filter("type IN ('domain', 'flow', 'step', 'file')")
+    nodes = get("v_nodes")
     path = _folder(nodes, "graph")
-    # one document per node type and path hash, each with its share of the graph
+    # as many documents as keep each at about 256 nodes
+    parts = nodes.count() // 256 + 1
     node = F.struct("id", "type", "name", F.col("file_path").alias("filePath"), "summary", "tags", "complexity")
-    docs = nodes.groupBy(F.pmod(F.xxhash64("id"), F.lit(64)).alias("doc")).agg(F.collect_list(node).alias("nodes"))
+    docs = nodes.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("doc")).agg(F.collect_list(node).alias("nodes"))
     docs.select("nodes", F.array().cast("array<struct<source:string>>").alias("edges")).write.json(path)
     back = (
         nodes.sparkSession.read.schema(graph_json.GRAPH).json(path).withColumn("file", F.col("_metadata.file_name"))

@@ -9,7 +9,7 @@ NODE = (
     "struct<id:string,type:string,name:string,filePath:string,lineRange:array<int>,summary:string,"
     "tags:array<string>,complexity:string>"
 )
-EDGE = "struct<source:string,target:string,type:string,direction:string,weight:string,description:string>"
+EDGE = "struct<source:string,target:string,type:string,direction:string,weight:variant,description:string>"
 GRAPH = (
     f"version string, project struct<name:string,languages:array<string>,frameworks:array<string>,description:string,"
     f"analyzedAt:string,gitCommitHash:string>, nodes array<{NODE}>, edges array<{EDGE}>, "
@@ -37,7 +37,10 @@ def graph_tables(documents: DataFrame) -> dict[str, DataFrame]:
         "n.summary", "n.tags", "n.complexity",
     )
     edges = documents.select(key, F.posexplode("edges").alias("seq", "e")).select(
-        "file", F.col("seq").cast("long").alias("seq"), "e.*"
+        "file", F.col("seq").cast("long").alias("seq"), "e.source", "e.target", "e.type", "e.direction",
+        F.col("e.weight").cast("string").alias("weight"), "e.description",
+        # a weight given as text is repaired and reported, a number is not
+        F.coalesce(F.schema_of_variant("e.weight") == "STRING", F.lit(False)).alias("weight_is_text"),
     )
     layers = documents.select(key, F.posexplode("layers").alias("layer_pos", "l")).select(
         "file", "layer_pos", F.col("l.id").alias("layer_id"), F.col("l.name").alias("layer_name"),

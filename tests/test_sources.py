@@ -2,6 +2,7 @@
 
 import json
 
+from graphloom.operators import clean
 from graphloom.sources import graph_json
 
 
@@ -20,6 +21,15 @@ def test_batches_and_malformed_files(spark, tmp_path):
     assert len(nodes) == 3 and {n.complexity for n in nodes} == {"3"}
 
 
+def test_weights_keep_their_type(spark, tmp_path):
+    edges = [{"source": "a", "target": "b", "type": "calls", "direction": "forward", "weight": w} for w in (0.7, "0.7", 2, None)]
+    (tmp_path / "batch-1.json").write_text(json.dumps({"nodes": [], "edges": edges}))
+    tables = graph_json.graph_tables(graph_json.read_batches(spark, str(tmp_path)))
+    fixed = clean.fix_edges(tables["edges"]).orderBy("seq").collect()
+    assert [r.weight for r in fixed] == [0.7, 0.7, 1.0, 0.5]
+    assert [[i["category"] for i in r.issues] for r in fixed] == [[], ["type-coercion"], ["out-of-range"], ["missing-field"]]
+
+
 def test_corpus_scan(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "a.py").write_text("x\ny\n")
