@@ -83,24 +83,26 @@ class EliasFano:
         return high.astype(np.uint64) << np.uint64(self.bits) | self._low(at)
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """Place of each value, -1 where it is missing: from the start of its
-        high part on, successors are compared until the high part ends."""
+        """Place of each value, -1 where it is missing: the values of one high
+        part stand between two zeros, and their successor is found by halving."""
         values = values.astype(np.uint64)
         high = (values >> np.uint64(self.bits)).astype(np.int64)
-        bit = np.zeros(len(values), np.int64)
+        want = values & np.uint64((1 << self.bits) - 1)
+        low = np.zeros(len(values), np.int64)
         inner = high > 0
         if inner.any():
-            bit[inner] = _select(self.words, self.zeros, high[inner] - 1, True) + 1
-        out = np.full(len(values), -1, np.int64)
-        live = np.arange(len(values))
-        want = values & np.uint64((1 << self.bits) - 1)
+            low[inner] = _select(self.words, self.zeros, high[inner] - 1, True) + 1 - high[inner]
+        end = _select(self.words, self.zeros, high, True) - high
+        top = end.copy()
+        live = np.flatnonzero(low < top)
         while len(live):
-            b = bit[live]
-            one = (self.words[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
-            live, b = live[one], b[one]
-            at = b - high[live]
-            same = self._low(at) == want[live]
-            out[live[same]] = at[same]
-            live = live[~same]
-            bit[live] += 1
+            mid = (low[live] + top[live]) >> 1
+            less = self._low(mid) < want[live]
+            low[live] = np.where(less, mid + 1, low[live])
+            top[live] = np.where(less, top[live], mid)
+            live = live[low[live] < top[live]]
+        out = np.full(len(values), -1, np.int64)
+        hit = np.flatnonzero(low < end)
+        hit = hit[self._low(low[hit]) == want[hit]]
+        out[hit] = low[hit]
         return out
