@@ -17,7 +17,14 @@ def signature_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     key = ["path", "kind", "name"]
     cols = ["params", "return_type", "exported", "n_lines", "methods", "properties", "specifiers"]
-    side = lambda df, p: df.groupBy(*key).agg(*[F.first(c).alias(f"{p}_{c}") for c in cols]).withColumn(f"{p}_here", F.lit(True))
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        # of rows of one name the last by ``seq`` counts, else the smallest row, so that reruns agree
+        row = F.struct(*cols)
+        one = F.max_by(row, "seq") if "seq" in df.columns else F.min(row)
+        return df.groupBy(*key).agg(one.alias("_r")).select(
+            *key, *[F.col(f"_r.{c}").alias(f"{p}_{c}") for c in cols], F.lit(True).alias(f"{p}_here"))
+
     both = side(old, "o").join(side(new, "n"), key, "full")
     c = F.col
     added, removed = c("o_here").isNull(), c("n_here").isNull()

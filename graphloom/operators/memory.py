@@ -217,7 +217,7 @@ def crystallise_clusters(memory: DataFrame, **limits) -> DataFrame:
     """Lessons of the flagged clusters (GA16 into GA14)."""
     flagged = tag_clusters(memory, **limits).filter("should_crystallise").select(F.col("tag").alias("cluster"))
     members = memory.filter("lifecycle = 'active'").select("*", F.explode("tags").alias("cluster")).join(
-        F.broadcast(flagged) if limits.get("watch") else flagged, "cluster", "left_semi"
+        flagged, "cluster", "left_semi"
     )
     return crystallise(members, "cluster")[0]
 
