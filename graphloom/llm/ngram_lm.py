@@ -10,8 +10,9 @@ quantised to a byte. Levels are cut into shards of bounded size that tasks write
 below the shared folder and scoring tasks map into memory, so that no process
 holds a level.
 
-An n-gram above one word is kept if it occurs twice; it is only counted where
-its parts are kept, so each level looks itself up in the one before.
+Every n-gram of the training texts is kept, from one occurrence on. A level looks
+its contexts up in the one before. The discount of a level comes from how many
+of its n-grams occur once and twice.
 """
 
 from __future__ import annotations
@@ -32,11 +33,7 @@ from graphloom.llm.elias_fano import EliasFano
 from graphloom.session import checkpointed, shared_dir
 
 ORDER = 3
-MIN_COUNT = 2
-DISCOUNT = 0.75
 SHARD = 1_000_000
-#: A byte stands for a log10 probability between this and 0.
-LOWEST = -8.0
 #: The end of a text, counted as a word; no word can hold white space.
 END = b"\n"
 CACHE = 300_000
@@ -44,12 +41,23 @@ CACHE = 300_000
 GATHER = 4_000_000
 
 
-def quantised(p: np.ndarray) -> np.ndarray:
-    scaled = np.log10(np.maximum(p, 10.0 ** LOWEST)) / LOWEST * 255
-    return np.clip(np.rint(scaled), 0, 255).astype(np.uint8)
+def discount(once: int, twice: int) -> float:
+    """The share of a count that is left for what was not seen, from how many were seen once and twice."""
+    return once / (once + 2 * twice) if once and twice else 0.5
 
 
-_LEVELS = 10.0 ** (LOWEST * np.arange(256) / 255)
+def lowest(d: float, total: int) -> float:
+    """A byte stands for a log10 probability between this and 0: no n-gram and no mass left is below."""
+    return float(np.log10(min(d, 1 - d) / total))
+
+
+def quantised(p: np.ndarray, low: float) -> np.ndarray:
+    return np.clip(np.rint(np.log10(p) / low * 255), 0, 255).astype(np.uint8)
+
+
+def restored(low: float) -> np.ndarray:
+    """The probability of each byte."""
+    return 10.0 ** (low * np.arange(256) / 255)
 
 
 def words(text: str) -> list[bytes]:
@@ -107,8 +115,9 @@ class Words:
 class Level:
     """Successors of the contexts of the level before."""
 
-    def __init__(self, shards: list[dict], vocabulary: int):
+    def __init__(self, shards: list[dict], vocabulary: int, low: float):
         self.vocabulary = vocabulary
+        self.restored = restored(low)
         shards = sorted(shards, key=lambda s: s["low"])
         self.lows = np.array([s["low"] for s in shards], np.int64)
         self.starts = np.r_[0, np.cumsum([s["n"] for s in shards])].astype(np.int64)
@@ -121,7 +130,7 @@ class Level:
         self.left = [np.load(f"{s['path']}/left.npy", mmap_mode="r") for s in shards]
 
     def look(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number of each n-gram (-1: not kept), its discounted probability (0)
+        """Number of each n-gram (-1: never seen), its discounted probability (0)
         and the mass its context leaves to the shorter one (1)."""
         number, p, left = np.full(len(word), -1, np.int64), np.zeros(len(word)), np.ones(len(word))
         shard = np.where(context >= 0, np.searchsorted(self.lows, context, side="right") - 1, -1)
@@ -130,13 +139,13 @@ class Level:
             heads, back = np.unique(context[mine], return_inverse=True)
             row = self.contexts[s].find(heads)[back]
             mine, row = mine[row >= 0], row[row >= 0]
-            left[mine] = _LEVELS[self.left[s][row]]
+            left[mine] = self.restored[self.left[s][row]]
             mine, row = mine[word[mine] >= 0], row[word[mine] >= 0]
             at = self.successors[s].find(row * self.vocabulary + word[mine])
             hit = at >= 0
             mine, at = mine[hit], at[hit]
             number[mine] = at + self.starts[s]
-            p[mine] = _LEVELS[self.p[s][at]]
+            p[mine] = self.restored[self.p[s][at]]
         return number, p, left
 
     def count(self, numbers: np.ndarray) -> np.ndarray:
@@ -153,7 +162,7 @@ class Trie:
     def __init__(self, spec: dict):
         self.spec = spec
         self.words = Words(spec["words"])
-        self.levels = [Level(x, spec["vocabulary"]) for x in spec["levels"]]
+        self.levels = [Level(x, spec["vocabulary"], low) for x, low in zip(spec["levels"], spec["lowest"])]
 
     def walk(self, ids: np.ndarray, start: np.ndarray):
         """For each level the contexts before the words and what the level says
@@ -224,8 +233,8 @@ def build_words(counts: DataFrame, folder: str, n: int) -> list[dict]:
     return _sharded(counts, "h", n, build)
 
 
-def build_level(grams: DataFrame, folder: str, n: int, spec: str, depth: int) -> list[dict]:
-    """``grams``: context, word, c."""
+def build_level(grams: DataFrame, folder: str, n: int, spec: str, depth: int, d: float, low: float) -> list[dict]:
+    """``grams``: context, word, c; ``d``, ``low``: discount and lowest log10 probability of the level."""
     def build(batches):
         pdf = pd.concat([*batches, pd.DataFrame({k: np.empty(0, np.int64) for k in ("context", "word", "c")})])
         if not len(pdf):
@@ -235,15 +244,15 @@ def build_level(grams: DataFrame, folder: str, n: int, spec: str, depth: int) ->
         heads, first, size = np.unique(context, return_index=True, return_counts=True)
         row = np.repeat(np.arange(len(heads)), size)
         seen = trie.words.count(heads) if depth == 1 else trie.levels[depth - 2].count(heads)
-        p = (c - DISCOUNT) / seen[row]
-        left = 1 - np.add.reduceat(p, first)
+        p = (c - d) / seen[row]
+        left = d * size / seen  # each context is counted as often as its successors together
         v = trie.spec["vocabulary"]
         sums = np.r_[0, np.cumsum(c)]
         path = _store(
             folder, contexts=EliasFano.build(heads, int(heads[-1]) + 1),
             pointers=EliasFano.build(np.r_[first, len(c)], len(c) + 1),
             successors=EliasFano.build(row * v + word, len(heads) * v),
-            sums=EliasFano.build(sums, int(sums[-1]) + 1), p=quantised(p), left=quantised(left))
+            sums=EliasFano.build(sums, int(sums[-1]) + 1), p=quantised(p, low), left=quantised(left, low))
         yield pd.DataFrame({"low": [int(heads[0])], "n": [len(c)], "path": [path]})
 
     return _sharded(grams, "context", n, build)
@@ -259,8 +268,7 @@ def _batched(texts: pd.Series, trie: Trie, step: int = 256):
 
 
 def count_grams(texts: DataFrame, spec: str) -> DataFrame:
-    """``context, word, c`` of the n-grams one word longer than the last level, whose
-    context is kept and whose last words can be."""
+    """``context, word, c`` of all n-grams one word longer than the last level."""
     def run(batches):
         trie = opened(spec)
         v = trie.spec["vocabulary"]
@@ -278,15 +286,8 @@ def count_grams(texts: DataFrame, spec: str) -> DataFrame:
 
         for pdf in batches:
             for ids, start, _ in _batched(pdf["text"], trie):
-                *levels, (context, _, _, _) = trie.walk(ids, start)
-                keep = (context >= 0) & (ids >= 0)
-                if levels:  # the n-gram without its first word must be kept too
-                    keep &= levels[-1][1] >= 0
-                else:  # a word seen once is in no pair seen twice
-                    often = trie.words.count(ids) >= MIN_COUNT
-                    before = np.r_[False, often[:-1]]
-                    before[start] = True
-                    keep &= often & before
+                *_, (context, _, _, _) = trie.walk(ids, start)
+                keep = context >= 0  # none before the first word of a text
                 keys, c = np.unique(context[keep] * v + ids[keep], return_counts=True)
                 pending.append((keys, c))
                 held += len(keys)
@@ -301,7 +302,14 @@ def count_grams(texts: DataFrame, spec: str) -> DataFrame:
             yield rows(*summed())
 
     grams = texts.mapInPandas(run, "context long, word long, c long")
-    return grams.groupBy("context", "word").agg(F.sum("c").alias("c")).filter(F.col("c") >= MIN_COUNT)
+    return grams.groupBy("context", "word").agg(F.sum("c").alias("c"))
+
+
+def _totals(counts: DataFrame) -> tuple[int, ...]:
+    """Rows, their occurrences, and how many occur once and twice."""
+    c = F.col("c")
+    row = counts.agg(F.count("*"), F.sum(c), F.count(F.when(c == 1, 1)), F.count(F.when(c == 2, 1))).first()
+    return tuple(int(x or 0) for x in row)
 
 
 def train(docs: DataFrame, order: int = ORDER) -> str:
@@ -312,19 +320,20 @@ def train(docs: DataFrame, order: int = ORDER) -> str:
     tokens = F.concat(F.array_remove(F.split(ascii_lower(F.col("text")), SPACE + "+"), ""), F.array(F.lit(END.decode())))
     counts = checkpointed(
         texts.select(F.explode(tokens).alias("w")).groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("c")))
-    totals = counts.agg(F.count("*"), F.sum("c"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
-    kinds, total, once, twice = (int(x or 0) for x in totals)
-    # the share of a count that is left for words not seen, from how many were seen once and twice
-    spec = {"vocabulary": kinds, "total": total, "discount": once / (once + 2 * twice) if once and twice else 0.5,
-            "words": build_words(counts, folder, kinds), "levels": [], "end": -1}
+    kinds, total, once, twice = _totals(counts)
+    spec = {"vocabulary": kinds, "total": total, "discount": discount(once, twice),
+            "words": build_words(counts, folder, kinds), "levels": [], "lowest": [], "end": -1}
     spec["end"] = int(Words(spec["words"]).number([END])[0])
     for depth in range(1, order):
         text = json.dumps(spec)
         grams = checkpointed(count_grams(texts, text))
-        n = grams.count()
+        n, _, once, twice = _totals(grams)
         if not n:
             break
-        spec["levels"].append(build_level(grams, folder, n, text, depth))
+        d = discount(once, twice)
+        low = lowest(d, total)
+        spec["levels"].append(build_level(grams, folder, n, text, depth, d, low))
+        spec["lowest"].append(low)
     return json.dumps(spec)
 
 

@@ -1,5 +1,6 @@
 """Mixing, near-duplicates, search, toxicity, LM scores and the pipeline against plain versions."""
 
+import itertools
 import math
 import random
 import zlib
@@ -258,6 +259,53 @@ def test_lm_scores(docs, monkeypatch):
     assert ngram_lm.lm_scores(docs([])).count() == 0
 
 
+def plain_full_lm(train, text, order=3):
+    """Interpolated absolute discounting over all n-grams, each level with its own discount."""
+    def toks(t):
+        return [b"\n", *(t or "").encode().lower().split(), b"\n"]
+
+    grams = {1: Counter(w for t in train for w in zip(toks(t)[1:]))}
+    for n in range(2, order + 1):
+        grams[n] = Counter(g for t in train for g in zip(*[toks(t)[k:] for k in range(n)]))
+    total, kinds, d = sum(grams[1].values()), len(grams[1]), {}
+    for n, found in grams.items():
+        n1, n2 = (sum(c == k for c in found.values()) for k in (1, 2))
+        d[n] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    def p(w, context):
+        if not context:
+            return (grams[1][w,] - d[1]) / total if (w,) in grams[1] else max(d[1] * kinds / total, 0.1 / total)
+        n, lower = len(context) + 1, p(w, context[1:])
+        inside = {g: c for g, c in grams[n].items() if g[:-1] == context}
+        if not inside:
+            return lower
+        seen, c = sum(inside.values()), inside.get((*context, w), 0)
+        return (c - d[n] if c else 0) / seen + d[n] * len(inside) / seen * lower
+
+    w = toks(text)
+    return sum(math.log10(p(w[k], tuple(w[max(0, k - order + 1):k]))) for k in range(1, len(w)))
+
+
+def test_lm_scores_keep_what_occurs_once(docs, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "SHARD", 40)
+    pick = random.Random(10)
+    table = [(k, prose(pick, 30)) for k in range(40)] + [(50, None), (51, prose(pick, 20) + " Unseen words")]
+    held = {k for k, _ in table if zlib.crc32(str(k).encode()) % 7 == 2}
+    train = [t for k, t in table if k not in held]
+    pairs = Counter(g for t in train for g in itertools.pairwise((t or "").lower().split()))
+    assert sum(c == 1 for c in pairs.values()) > len(pairs) / 4  # most evidence lies in what occurs once
+    got = rows(ngram_lm.lm_scores(docs(table)))
+    for k, t in table:
+        assert got[k].score == pytest.approx(plain_full_lm(train, t), rel=0.02, abs=0.1)  # a byte a probability
+
+
+def test_lm_bytes_reach_the_rarest():
+    total = 10**12
+    low = ngram_lm.lowest(0.6, total)
+    p = np.array([0.4 / total, 1e-9, 1.0])
+    assert ngram_lm.restored(low)[ngram_lm.quantised(p, low)] == pytest.approx(p, rel=0.06)
+
+
 def test_pipeline(spark, tmp_path):
     pick = random.Random(11)
     line = "A line that very many of the documents in this table share."
