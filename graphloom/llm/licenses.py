@@ -1,9 +1,13 @@
 """Licence scans by sentence rules (operator 2).
 
-A text is cut into sentences, a sentence is normalised to lower-case letters and
-digits, and the known ones become identifiers. A licence rule is an ordered list
-of identifiers that must occur in that order, other sentences between them
-allowed. Everything runs in one pass over each row, without a shuffle.
+A text loses its comment leaders and is normalised to lower-case letters and
+digits; the known sentences in it, bounded by words, become identifiers, and so
+do the names in an SPDX line. A licence rule is an ordered list of identifiers
+that must occur in that order, others between them allowed. Everything runs in
+one pass over each row, without a shuffle.
+
+``oracle`` is the older definition, by sentences that stand alone; the two
+differ where a sentence is wrapped, is part of a longer one or is in a comment.
 """
 
 from __future__ import annotations
@@ -17,8 +21,12 @@ from graphloom.functions.columns import lookup
 from graphloom.llm.common import ascii_lower, whole
 
 #: A text without any of these words holds no known sentence.
-TRIGGER = "licen[sc]e|copyright|permi|redistribut|warrant|free software|public domain"
-#: Sentences end at a stop before white space; once at every line end, since
+TRIGGER = "licen[sc]e|copyright|permi|redistribut|warrant|public[^a-z0-9]+domain"
+#: What begins a comment line, or ends a comment.
+LEADER = r"(?m)^[\x20\x09]*(?:/?\*+/?|//+!?|#+|--+|;+|%+|<!--)"
+#: An SPDX line up to its expression.
+SPDX = r"spdx[^a-z0-9\n]+license[^a-z0-9\n]+identifier[^a-z0-9\n]+"
+#: For ``oracle``: sentences end at a stop before white space; once at every line end, since
 #: notices are often a line, and once at empty lines only, since paragraphs wrap.
 CUTS = (r"[.!?]+[\x20\x09-\x0D]+|\n", r"[.!?]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n")
 
@@ -75,6 +83,20 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-notice",)), ("CC-BY-4.0", ("cc-by-text",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-notice",)), ("CC-BY-SA-4.0", ("cc-by-sa-text",)),
 )
+#: Names in SPDX expressions, and the identifiers they give.
+SPDX_NAMES = {
+    "mit": "spdx-mit", "apache-2.0": "spdx-apache", "bsd-2-clause": "spdx-bsd2", "bsd-3-clause": "spdx-bsd3",
+    "gpl-3.0": "spdx-gpl3", "gpl-3.0+": "spdx-gpl3", "gpl-3.0-only": "spdx-gpl3", "gpl-3.0-or-later": "spdx-gpl3",
+    "gpl-2.0": "spdx-gpl2", "gpl-2.0+": "spdx-gpl2", "gpl-2.0-only": "spdx-gpl2", "gpl-2.0-or-later": "spdx-gpl2",
+    "isc": "spdx-isc", "mpl-2.0": "spdx-mpl2", "unlicense": "spdx-unlicense", "cc-by-4.0": "spdx-cc-by",
+    "cc-by-sa-4.0": "spdx-cc-by-sa", "cc-by-nc-4.0": "spdx-cc-by-nc",
+}
+#: Rules besides those of ``oracle``: the Apache header holds the notice.
+MORE_RULES = (
+    ("Apache-2.0", ("apache-header",)), ("BSD-2-Clause", ("spdx-bsd2",)), ("BSD-3-Clause", ("spdx-bsd3",)),
+    ("GPL-2.0", ("spdx-gpl2",)), ("ISC", ("spdx-isc",)), ("MPL-2.0", ("spdx-mpl2",)), ("Unlicense", ("spdx-unlicense",)),
+    ("CC-BY-4.0", ("spdx-cc-by",)), ("CC-BY-SA-4.0", ("spdx-cc-by-sa",)), ("CC-BY-NC-4.0", ("spdx-cc-by-nc",)),
+)
 #: A licence that gives way to one whose rule contains its own.
 YIELDS = {"BSD-2-Clause": "BSD-3-Clause"}
 
@@ -83,10 +105,23 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_lower(sentence), "[^a-z0-9]+", " "))
 
 
-def identifiers(text: Column, cut: str) -> Column:
-    """Known sentences of a text in order, each as ``|identifier|``, joined."""
-    table = {sentence: f"|{name}|" for name, sentence in SENTENCES.items()}
-    return F.array_join(F.transform(F.split(text, cut), lambda s: lookup(table, normalised(s))), "")
+def identifiers(text: Column) -> Column:
+    """Identifiers of a text in order, each as ``|identifier|``, joined."""
+    table = {sentence: f"|{name}|" for name, sentence in SENTENCES.items() if not name.startswith("spdx-")}
+    known = r"\b(?:" + "|".join(sorted(table, key=len, reverse=True)) + r")\b"  # of those that begin alike the longest
+    spdx = {name: f"|{found}|" for name, found in SPDX_NAMES.items()}
+
+    def sentences(part: Column) -> Column:
+        return F.transform(F.regexp_extract_all(normalised(part), F.lit(known), F.lit(0)), lambda s: lookup(table, s))
+
+    def expression(part: Column) -> Column:
+        names = F.split(F.regexp_extract(part, rf"\A{SPDX}([^\n]*)", 1), r"[^a-z0-9.+-]+")
+        return F.transform(names, lambda s: lookup(spdx, F.regexp_replace(s, r"[.-]+$", "")))
+
+    parts = F.split(F.regexp_replace(ascii_lower(text), LEADER, ""), f"(?={SPDX})")
+    return F.array_join(F.flatten(F.transform(parts, lambda p: F.when(
+        p.rlike(rf"\A{SPDX}"), F.concat(expression(p), sentences(F.regexp_replace(p, r"\A[^\n]*", "")))
+    ).otherwise(sentences(p)))), "")
 
 
 def pattern(rule: tuple[str, ...]) -> str:
@@ -96,23 +131,19 @@ def pattern(rule: tuple[str, ...]) -> str:
 def license_scan(docs: DataFrame) -> DataFrame:
     """``doc_id, n_known, sentences, licenses`` of every document.
 
-    ``sentences`` are the identifiers found line by line, ``licenses`` the names
-    of the matching licences in alphabetical order, both joined by commas and
-    empty where nothing is known (null and empty texts too). Repeated rows give
-    repeated results; other columns are left behind.
+    ``sentences`` are the identifiers in the order of the text, ``licenses`` the
+    names of the matching licences in alphabetical order, both joined by commas
+    and empty where nothing is known (null and empty texts too). Repeated rows
+    give repeated results; other columns are left behind.
     """
     text = whole("text")
-    relevant = ascii_lower(text).rlike(TRIGGER)
-    found = docs.select("doc_id", *[
-        F.when(relevant, identifiers(text, cut)).otherwise("").alias(f"s{k}") for k, cut in enumerate(CUTS)])
-    names = sorted({name for name, _ in RULES})
-    hit = {
-        name: reduce(lambda a, b: a | b, [F.col(f"s{k}").like(pattern(rule)) for n, rule in RULES if n == name
-                                          for k in range(len(CUTS))])
-        for name in names
-    }
+    found = docs.select("doc_id", F.when(ascii_lower(text).rlike(TRIGGER), identifiers(text)).otherwise("").alias("s"))
+    rules = RULES + MORE_RULES
+    names = sorted({name for name, _ in rules})
+    hit = {name: reduce(lambda a, b: a | b, [F.col("s").like(pattern(rule)) for n, rule in rules if n == name])
+           for name in names}
     shown = [F.when(hit[n] & ~hit[YIELDS[n]] if n in YIELDS else hit[n], n) for n in names]
-    known = F.filter(F.split("s0", r"\|"), lambda s: s != "")
+    known = F.filter(F.split("s", r"\|"), lambda s: s != "")
     return found.select(
         "doc_id", F.size(known).cast("long").alias("n_known"), F.array_join(known, ",").alias("sentences"),
         F.array_join(F.array(*shown), ",").alias("licenses"),

@@ -117,6 +117,40 @@ def test_licenses(docs):
     assert licenses.license_scan(docs([])).count() == 0
 
 
+APACHE = """/*
+ * Copyright (C) 2020 Foo
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *      http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */
+package foo;"""
+
+
+def test_licenses_in_comments_and_parts(docs):
+    mit = [licenses.SENTENCES[f"mit-{x}"].split() for x in ("grant", "keep", "as-is", "liability")]
+    lines = ["Copyright (c) 2020 Foo"] + [" ".join(w[k:k + 9]) + ":" * (k + 9 >= len(w)) for w in mit for k in range(0, len(w), 9)]
+    got = rows(licenses.license_scan(docs([
+        (1, APACHE), (2, APACHE.replace(" *", " #").replace("/*", "#")), (3, "\n".join(f"// {x}" for x in lines)),
+        (4, "This project is released under the MIT License."), (5, "; SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause)\nmov"),
+        (6, "# SPDX-License-Identifier: MIT-0"), (7, "This is free and unencumbered software released into the public\n-- domain."),
+        (8, "The terms of Mozilla follow. This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0."),
+        (9, "unreleased under the MIT licensees"), (10, "// SPDX-License-Identifier: ISC\n" + APACHE),
+    ])))
+    assert [got[k].licenses for k in range(1, 11)] == [
+        "Apache-2.0", "Apache-2.0", "MIT", "MIT", "BSD-3-Clause,GPL-2.0", "", "Unlicense", "MPL-2.0", "", "Apache-2.0,ISC"]
+    assert got[1].sentences == "apache-header,apache-basis,apache-see"
+    assert got[10].sentences == "spdx-isc," + got[1].sentences and got[3].n_known == 4
+
+
 def plain_lines(table):
     def key(line):
         return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(SPACES))
