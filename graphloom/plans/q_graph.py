@@ -142,7 +142,7 @@ def _(get):
 
 @query("gr10_heuristic_tour")
 def _(get):
-    return ga.heuristic_tour(get("v_nodes"), get("v_flow_edges"), get("v_layer_members"))
+    return ga.heuristic_tour(get("v_nodes"), get("v_edges"), get("v_layer_members"))
 
 
 @query(
@@ -226,3 +226,35 @@ VIEWS["v_seeds"] = "SELECT CAST(n_nationkey AS BIGINT) AS query_id, 'flow:n' ||
 )
 def _(get):
     return ga.graph_hits(get("v_place_edges"), get("v_seeds")).select("query_id", "id", F.round("score", 4).alias("score"))
+
+
+# The same over all edge types, node types and seeds. Recursive SQL is too slow for
+# these, so tests hold them against brute force.
+VIEWS["v_dated_all_edges"] = "SELECT source, target, type, seq, TIMESTAMP '1996-02-02 00:00:00' AS created_at FROM v_edges"
+VIEWS["v_all_seeds"] = "SELECT CAST(n_nationkey AS BIGINT) AS query_id, 'flow:n' || CAST(n_nationkey AS STRING) AS id FROM nation"
+
+
+@query("gr1_neighbours_all_edges")
+def _(get):
+    return ga.neighbours(get("v_edges"), "step:s7", 2)
+
+
+@query("gr2_shortest_path_all_edges")
+def _(get):
+    return ga.shortest_path(get("v_edges"), "step:s7", "file:shared/m1/p10.ts")
+
+
+@query("gr5_topological_levels_all_edges")
+def _(get):
+    return ga.topological_levels(get("v_nodes"), get("v_edges")).select("id", F.coalesce("level", F.lit(-1)).alias("level"))
+
+
+@query("wn13_trajectory_all_edges")
+def _(get):
+    t = ga.trajectory(get("v_nodes"), get("v_dated_all_edges"), "step:s7", 3)
+    return t.select("kind", "id", F.date_format("created_at", "yyyy-MM-dd").alias("day"))
+
+
+@query("sr7_graph_hits_all_edges")
+def _(get):
+    return ga.graph_hits(get("v_edges"), get("v_all_seeds")).select("query_id", "id", F.round("score", 4).alias("score"))

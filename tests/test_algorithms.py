@@ -232,3 +232,63 @@ def test_file_fold_takes_events_in_any_order(spark):
     second = spark.createDataFrame([("a", "h", "s", 2), ("b", "h2", "s", 3), ("c", "h2", "t", 4)], schema)
     state = tables.fold_files(tables.fold_files(None, first), second)
     assert {(r.path, r.status) for r in state.collect()} == {("a", "deleted"), ("b", "cosmetic"), ("c", "structural")}
+
+
+def test_graph_queries_read_all_edges(spark):
+    from __spark_entry__ import queries
+    from graphloom.plans.registry import view
+
+    at = "/root/testdata/sf0.001"
+    run = lambda name: queries()[f"{name}_all_edges"](spark, at).collect()
+    edges = view(spark, at, "v_edges").select("source", "target", "type", "weight", "seq").collect()
+    nodes = {r.id for r in view(spark, at, "v_nodes").select("id").collect()}
+    assert {"imports", "serves", "documents", "depends_on", "contains_flow"} <= {e.type for e in edges}
+    near = defaultdict(list)
+    for e in edges:
+        near[e.source].append((e.target, e.weight))
+        near[e.target].append((e.source, e.weight))
+
+    def depths(start):
+        found, front = {start: 0}, [start]
+        while front:
+            new = {t for s in front for t, _ in near[s]} - found.keys()
+            found |= dict.fromkeys(new, found[front[0]] + 1)
+            front = list(new)
+        return found
+
+    depth = depths("step:s7")
+    assert {(r.id, r.depth) for r in run("gr1_neighbours")} == {(k, d) for k, d in depth.items() if 0 < d <= 2}
+    path = [r.id for r in sorted(run("gr2_shortest_path"), key=lambda r: r.pos)]
+    assert (path[0], path[-1]) == ("step:s7", "file:shared/m1/p10.ts") and [depth[k] for k in path] == list(range(len(path)))
+    assert all(b in {t for t, _ in near[a]} for a, b in zip(path, path[1:]))
+    reach = {k for k, d in depth.items() if 0 < d <= 3}
+    want = {("node", k) for k in (reach | {"step:s7"}) & nodes}
+    want |= {("edge", str(e.seq)) for e in edges if e.source in reach | {"step:s7"} or e.target in reach}
+    assert {(r.kind, r.id) for r in run("wn13_trajectory")} == want
+
+    into, out = defaultdict(set), defaultdict(set)
+    for e in edges:
+        if e.source in nodes and e.target in nodes:
+            into[e.target].add(e.source)
+            out[e.source].add(e.target)
+    level, front, n = {}, {k for k in nodes if not into[k]}, 0
+    while front:
+        level |= dict.fromkeys(front, n)
+        n += 1
+        front = {t for k in front for t in out[k] if t not in level and into[t] <= level.keys()}
+    got = run("gr5_topological_levels")
+    assert len(got) == len(nodes) and {r.id: r.level for r in got} == {k: level.get(k, -1) for k in nodes}
+
+    want = {}
+    for q in range(25):
+        seen, front = {f"flow:n{q}"}, {f"flow:n{q}"}
+        for hop in (1, 2):
+            score = Counter()
+            for k in front:
+                for t, w in near[k]:
+                    score[t] += w
+            front = score.keys() - seen
+            want |= {(q, k): score[k] / hop for k in front}
+            seen |= front
+    got = {(r.query_id, r.id): r.score for r in run("sr7_graph_hits")}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in want)
