@@ -148,26 +148,35 @@ ENTRY_POINT_RULES = [
     ("event", "Event subscriber decorator", r"@(?:EventHandler|Subscribe|Listener|on_event)\s*\(\s*['\"]([\w\-:.]+)['\"]"),
     ("cron", "Cron schedule", r"(?i)@?(?:Cron|Schedule|Scheduled|crontab)\s*\(\s*['\"]([^'\"]+)['\"]"),
     ("http", "GraphQL resolver", r"@(?:Query|Mutation|Subscription|Resolver)\s*\("),
-    ("http", "gRPC service", r"^service\s+(\w+)\s*\{"),
+    ("http", "gRPC service", r"(?m)^service\s+(\w+)\s*\{"),
     ("manual", "Exported handler", r"export\s+(?:async\s+)?function\s+(handle\w+|process\w+|on\w+)\b"),
 ]
 _TESTS = r"(?:\.test\.|\.spec\.|__tests__|_test\.py|test_\w+\.py)"
 
 
 def entry_points(corpus: DataFrame) -> DataFrame:
-    """Entry points per line, tests excluded (TX5)."""
-    rows = lines_of(corpus.filter(~F.col("path").rlike(_TESTS)), "path")
+    """Entry points with the line they begin in, tests excluded (TX5). Rules run
+    on the whole text, since an argument may stand on the next line."""
+    c = F.col("content")
+    none = F.array().cast("array<struct<line_no:int,kind:string,description:string,match:string>>")
 
     def matches(kind: str, description: str, rx: str) -> Column:
-        return F.transform(
-            F.regexp_extract_all("line", F.lit(rx), F.lit(0)),
-            lambda m: F.struct(
-                F.lit(kind).alias("kind"), F.lit(description).alias("description"), F.substring(m, 1, 120).alias("match")
-            ),
-        )
+        hits = F.regexp_extract_all(c, F.lit(rx), F.lit(0))
+        pairs = F.arrays_zip(F.split(c, rx).alias("gap"), hits.alias("hit"))
+
+        def step(acc: Column, p: Column) -> Column:
+            line = acc["line"] + paths.newline_count(p["gap"])
+            found = F.struct(
+                line.cast("int").alias("line_no"), F.lit(kind).alias("kind"), F.lit(description).alias("description"),
+                F.substring(p["hit"], 1, 120).alias("match"))
+            return F.when(p["hit"].isNull(), acc).otherwise(F.struct(
+                (line + paths.newline_count(p["hit"])).cast("int").alias("line"), F.array_append(acc["out"], found).alias("out")))
+
+        start = F.struct(F.lit(1).alias("line"), none.alias("out"))
+        return F.when(c.rlike(rx), F.aggregate(pairs, start, step)["out"]).otherwise(none)
 
     hits = F.concat(*[matches(*rule) for rule in ENTRY_POINT_RULES])
-    return rows.select("path", "line_no", F.inline(hits))
+    return corpus.filter(~F.col("path").rlike(_TESTS)).select("path", F.inline(hits))
 
 
 def articles(corpus: DataFrame) -> DataFrame:

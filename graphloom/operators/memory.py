@@ -187,20 +187,30 @@ def crystallise(members: DataFrame, group: str) -> tuple[DataFrame, DataFrame, D
     return lessons, common.select(group, "tag", "n_tag"), examples
 
 
-def consolidate(lessons: DataFrame, based_on: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Add rows to lessons (GA15): version + 1, ids appended, confidence
-    unchanged. ``based_on(lesson_id, pos, memory_id)``, ``more(lesson_id,
-    memory_id, seq)``."""
+def consolidate(
+    lessons: DataFrame, based_on: DataFrame, examples: DataFrame, more: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Add rows to lessons (GA15): version + 1, ids and the examples of the first
+    five new rows appended, confidence unchanged. ``based_on(lesson_id, pos,
+    memory_id)``, ``examples(lesson_id, pos, memory_id, excerpt)``,
+    ``more(lesson_id, memory_id, seq, content)``."""
     grown = more.select("lesson_id").distinct().withColumn("_g", F.lit(1))
     versions = lessons.join(grown, "lesson_id", "left").withColumn(
         "version", F.col("version") + F.coalesce("_g", F.lit(0))
     )
-    sizes = based_on.groupBy("lesson_id").agg((F.max("pos") + 1).alias("_n"))
-    appended = (
-        row_numbers(more, ["lesson_id"], ["seq"], "_i").join(sizes, "lesson_id", "left")
-        .select("lesson_id", (F.coalesce("_n", F.lit(0)) + F.col("_i") - 1).alias("pos"), "memory_id")
+
+    def after(held: DataFrame, new: DataFrame, rank: str) -> DataFrame:
+        sizes = held.groupBy("lesson_id").agg((F.max("pos") + 1).alias("_n"))
+        placed = new.join(sizes, "lesson_id", "left").withColumn("pos", F.coalesce("_n", F.lit(0)) + F.col(rank) - 1)
+        return held.unionByName(placed.select(*held.columns))
+
+    ids = row_numbers(more, ["lesson_id"], ["seq"], "_i")
+    shown = top_k(more, ["lesson_id"], [F.col("seq")], 5).withColumn("excerpt", F.substring("content", 1, 80))
+    return (
+        versions.select(*lessons.columns),
+        after(based_on.select("lesson_id", "pos", "memory_id"), ids, "_i"),
+        after(examples.select("lesson_id", "pos", "memory_id", "excerpt"), shown, "rank"),
     )
-    return versions.select(*lessons.columns), based_on.select("lesson_id", "pos", "memory_id").unionByName(appended)
 
 
 def tag_clusters(memory: DataFrame, threshold: int = 3, min_confidence: float = 0.5, watch: list[str] | None = None) -> DataFrame:

@@ -202,10 +202,28 @@ def _(get):
     SELECT lesson_id, pos, memory_id FROM o_old UNION ALL SELECT scope, coalesce(n, 0) + row_number() OVER (PARTITION BY scope ORDER BY seq) - 1, id FROM v_memory LEFT JOIN o_n ON lesson_id = scope WHERE lifecycle = 'stale'""",
 )
 def _(get):
-    m = get("v_memory").select(F.col("scope").alias("lesson_id"), F.col("id").alias("memory_id"), "seq", "lifecycle")
+    return _consolidated(get)[1]
+
+
+@query(
+    "ga15_consolidated_examples",
+    """WITH o_r AS (SELECT scope AS lesson_id, id AS memory_id, left(content, 80) AS excerpt, lifecycle,
+       row_number() OVER (PARTITION BY scope, lifecycle ORDER BY seq) AS i FROM v_memory WHERE lifecycle IN ('active', 'stale')),
+     o_old AS (SELECT lesson_id, i - 1 AS pos, memory_id, excerpt FROM o_r WHERE lifecycle = 'active' AND i <= 5),
+     o_n AS (SELECT lesson_id, count(*) AS n FROM o_old GROUP BY 1)
+    SELECT lesson_id, pos, memory_id, excerpt FROM o_old
+    UNION ALL SELECT lesson_id, coalesce(n, 0) + i - 1, memory_id, excerpt FROM o_r LEFT JOIN o_n USING (lesson_id) WHERE lifecycle = 'stale' AND i <= 5""",
+)
+def _(get):
+    return _consolidated(get)[2]
+
+
+def _consolidated(get):
+    m = get("v_memory").select(F.col("scope").alias("lesson_id"), F.col("id").alias("memory_id"), "seq", "content", "lifecycle")
     old = ranking.row_numbers(m.filter("lifecycle = 'active'"), ["lesson_id"], ["seq"], "pos").withColumn("pos", F.col("pos") - 1)
     lessons = old.select("lesson_id").distinct().withColumn("version", F.lit(1))
-    return mem.consolidate(lessons, old, m.filter("lifecycle = 'stale'").drop("lifecycle"))[1]
+    examples = old.filter("pos < 5").withColumn("excerpt", F.substring("content", 1, 80))
+    return mem.consolidate(lessons, old, examples, m.filter("lifecycle = 'stale'").drop("lifecycle"))
 
 
 O_GA16 = """o_c AS (SELECT tag, count(*) AS n, avg(confidence) AS c FROM (SELECT confidence, unnest(tags) AS tag FROM v_memory WHERE lifecycle = 'active') GROUP BY 1)"""

@@ -292,3 +292,25 @@ def test_graph_queries_read_all_edges(spark):
             seen |= front
     got = {(r.query_id, r.id): r.score for r in run("sr7_graph_hits")}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in want)
+
+
+def test_entry_points_over_line_ends(spark):
+    content = "// routes\napp.get(\n  '/x',\n  f)\n\nbus.on('a')\nx\ncli.command(\n'go')\nrouter\n  .post('/y')\nservice Q {\n"
+    rows = [("a.ts", content), ("b.test.ts", content), ("c.ts", "none"), ("d.ts", None)]
+    got = corpus.entry_points(spark.createDataFrame(rows, "path string, content string")).collect()
+    assert sorted((r.path, r.line_no, r.kind, r.match) for r in got) == [
+        ("a.ts", 2, "http", "app.get(\n  '/x'"), ("a.ts", 6, "event", ".on('a'"), ("a.ts", 8, "cli", ".command(\n'go'"),
+        ("a.ts", 10, "http", "router\n  .post('/y'"), ("a.ts", 12, "http", "service Q {")]
+
+
+def test_consolidate_appends_examples(spark):
+    lessons = spark.createDataFrame([("L", 1), ("M", 1), ("N", 4)], "lesson_id string, version int")
+    based_on = spark.createDataFrame([("L", 0, "a"), ("L", 1, "b"), ("N", 0, "c")], "lesson_id string, pos long, memory_id string")
+    examples = spark.createDataFrame([("L", 0, "a", "text a")], "lesson_id string, pos long, memory_id string, excerpt string")
+    more = spark.createDataFrame(
+        [("L", f"n{k}", k, f"{k}" * 100) for k in range(7)] + [("M", "m", 0, "short")],
+        "lesson_id string, memory_id string, seq long, content string")
+    versions, ids, shown = (sorted(map(tuple, df.collect())) for df in memory.consolidate(lessons, based_on, examples, more))
+    assert versions == [("L", 2), ("M", 2), ("N", 4)]
+    assert ids == [("L", 0, "a"), ("L", 1, "b"), *[("L", k + 2, f"n{k}") for k in range(7)], ("M", 0, "m"), ("N", 0, "c")]
+    assert shown == [("L", 0, "a", "text a"), *[("L", k + 1, f"n{k}", f"{k}" * 80) for k in range(5)], ("M", 0, "m", "short")]
