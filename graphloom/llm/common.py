@@ -14,6 +14,11 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: Words of digits, letters and all beyond ASCII, once A-Z are lower-cased; as
+#: a pattern, and as a byte table that turns every other byte into a space.
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ALNUM_BYTES = bytes(b if b > 127 or chr(b).isdigit() else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
+
 #: Texts reach Python in batches of bounded bytes, so that very long texts fit.
 ARROW = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",

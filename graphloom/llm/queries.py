@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import byte_bpe, licenses, line_dedup, mixing, near_dedup, ngram_lm, quality, token_counts, toxicity, vector_file
+from graphloom.llm import (
+    byte_bpe, decontaminate, importance, licenses, line_dedup, mixing, near_dedup, ngram_lm, quality, token_counts, toxicity,
+    vector_file, whitening,
+)
 from graphloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +85,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
+
+
+@query("op11_importance", importance.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_decontaminate", decontaminate.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(
+        decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumn(
+        "deviation", F.expr("try_cast(deviation AS long)"))
