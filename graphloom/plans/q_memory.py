@@ -144,7 +144,7 @@ def _(get):
     return mem.last_audit(get("v_audit")).select("id", "seq", "op")
 
 
-O_MM5 = """o_c AS (SELECT *, CASE WHEN entity <> 'memory' THEN 'skipped' WHEN op = 'create' AND new IS NULL THEN 'error'
+O_LAST_BIRTH = """o_c AS (SELECT *, CASE WHEN entity <> 'memory' THEN 'skipped' WHEN op = 'create' AND new IS NULL THEN 'error'
    WHEN op IN ('create','delete','update') THEN 'applied' ELSE 'error' END AS outcome FROM v_audit),
  o_b AS (SELECT id, max(seq) AS born, arg_max(op, seq) AS op, arg_max({n: new}, seq).n AS content FROM o_c WHERE outcome = 'applied' AND op IN ('create','delete') GROUP BY 1),
  o_l AS (SELECT b.id, b.born, b.content, coalesce((SELECT arg_max(new, seq) FROM o_c c WHERE c.id = b.id AND c.outcome = 'applied' AND c.field = 'lifecycle' AND c.op = 'update' AND c.seq > b.born), 'active') AS lifecycle
@@ -152,12 +152,12 @@ O_MM5 = """o_c AS (SELECT *, CASE WHEN entity <> 'memory' THEN 'skipped' WHEN op
  o_s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY born, id) AS rn FROM o_l) WHERE rn = 1)"""
 
 
-@query("mm5_replay_state", f"WITH {O_MM5} SELECT id, content, lifecycle, born FROM o_s")
+@query("mm5_replay_state", f"WITH {O_LAST_BIRTH} SELECT id, content, lifecycle, born FROM o_s")
 def _(get):
     return mem.replay(get("v_audit"), ["memory"]).select("id", "content", "lifecycle", "born")
 
 
-@query("mm5_replay_counts", f"WITH {O_MM5} SELECT outcome, count(*) AS n FROM o_c GROUP BY 1")
+@query("mm5_replay_counts", f"WITH {O_LAST_BIRTH} SELECT outcome, count(*) AS n FROM o_c GROUP BY 1")
 def _(get):
     return mem.classify_audit(get("v_audit"), ["memory"]).groupBy("outcome").agg(F.count("*").alias("n"))
 

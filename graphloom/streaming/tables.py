@@ -1,84 +1,212 @@
-"""Streams that keep a state table (SS1-SS4).
+"""Streams that keep the latest row of each key in the engine's state store (SS1-SS4).
 
-State lives in versioned Parquet folders below the shared folder, one per
-micro-batch: a replayed batch rewrites its own version from the previous one,
-so a lost driver or executor repeats no effect. Every fold is a grouped
-max_by over (previous state, micro-batch), which is what makes it mergeable.
+Each stream is a ``StatefulProcessor`` with one value per key. It appends a row
+to its sink only when a key has changed; ``latest`` reads the table back as the
+last row of every key. Nothing is rewritten per micro-batch; offsets, state and
+sink commits are the engine's, so a restarted stream goes on where it was.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime as dt
+from collections.abc import Iterator
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from graphloom.functions.hashing import content_key
 from graphloom.operators.dedup import pick_one
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-class StateTable:
-    """Versioned state; version n is the state after micro-batch n."""
+SLOT = "value string, ttl_ms long, last_updated_at timestamp, seq long"
+AUDIT = "born long, birth_op string, content string, life_seq long, lifecycle string"
+FILE = ("content_hash string, signature string, seq long, old_hash string, old_signature string, old_seq long, "
+        "status string")
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self.last = -1
 
-    def version(self, n: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{n}")
+def _plain(value: Any) -> Any:
+    """A pandas scalar as the state store takes it."""
+    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+        return None
+    if isinstance(value, pd.Timestamp):
+        return value.to_pydatetime()
+    return value.item() if hasattr(value, "item") else value
 
-    def write(self, state: DataFrame, n: int) -> None:
-        state.write.mode("overwrite").parquet(f"{self.path}/v{n}")
-        self.last = n
 
-    def latest(self) -> DataFrame:
-        """State after the last micro-batch this process has written."""
-        return self.version(self.last)
+class _Keyed(StatefulProcessor):
+    """One value per key; ``fold`` gives the new value, or None for no change.
 
+    Rows of one key reach ``fold`` batch by batch, so a hot key holds no more
+    than an Arrow batch. ``version`` counts the changes of a key.
+    """
 
-def fold_stream(
-    rows: DataFrame, path: str, fold: Callable[[DataFrame | None, DataFrame], DataFrame]
-) -> tuple[StreamingQuery, StateTable]:
-    """Run ``state = fold(state, micro-batch)`` over all available input."""
-    table = StateTable(rows.sparkSession, path)
+    keys: tuple[str, ...]
+    fields: str
 
-    def step(batch: DataFrame, n: int) -> None:
-        table.write(fold(table.version(n - 1) if n > 0 else None, batch), n)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("row", f"{self.fields}, version long")
+        self.names = [f.strip().split(" ")[0] for f in self.fields.split(",")]
 
-    query = (
-        rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    )
-    return query, table
+    def fold(self, old: dict | None, rows: list[dict]) -> dict | None:
+        raise NotImplementedError
+
+    def changed(self, old: dict | None, new: dict) -> None:
+        """Called after ``new`` has taken the place of ``old``."""
+
+    def current(self) -> dict | None:
+        found = self.state.get()
+        return None if found is None else dict(zip([*self.names, "version"], map(_plain, found)))
+
+    def rows(self, key: Any, value: dict, gone: bool = False) -> pd.DataFrame:
+        row = dict(zip(self.keys, key)) | value | {"gone": gone}
+        return pd.DataFrame({c: pd.Series([v], dtype=object) for c, v in row.items()})
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        before = value = self.current()
+        for pdf in rows:
+            new = self.fold(value, [{c: _plain(v) for c, v in r.items()} for r in pdf.to_dict("records")])
+            value = value if new is None else new
+        if value is not before:
+            value = {c: value[c] for c in self.names} | {"version": ((before or {}).get("version") or 0) + 1}
+            self.state.update(tuple(value.values()))
+            self.changed(before, value)
+            yield self.rows(key, value)
+
+    def close(self) -> None:
+        pass
+
+
+class Slots(_Keyed):
+    """Latest write per (scope, key) until its time to live is over (SS1).
+
+    A timer on event time drops a slot from the state as soon as the watermark
+    has passed ``last_updated_at + ttl_ms``, and says so in a row marked gone. A
+    write older than the stored one changes nothing.
+    """
 
+    keys, fields = ("scope", "key"), SLOT
 
-def _with(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    return batch if state is None else state.unionByName(batch)
+    def fold(self, old, rows):
+        best = max(rows, key=lambda r: (r["last_updated_at"], r["seq"]))
+        return best if old is None or (best["last_updated_at"], best["seq"]) > (old["last_updated_at"], old["seq"]) else None
 
+    @staticmethod
+    def ends(value: dict) -> int | None:
+        """The first whole millisecond at which the slot has outlived its time."""
+        if value["ttl_ms"] is None:
+            return None
+        age = value["last_updated_at"].replace(tzinfo=dt.timezone.utc) - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+        return age // dt.timedelta(milliseconds=1) + value["ttl_ms"] + 1
 
-def fold_slots(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Latest write per (scope, key); expiry is a filter on read, since only the
-    reader's clock decides it (SS1)."""
-    return pick_one(_with(state, batch), ["scope", "key"], [F.col("last_updated_at"), F.col("seq")])
+    def changed(self, old, new):
+        if old is not None and self.ends(old) is not None:
+            self.handle.deleteTimer(self.ends(old))
+        if self.ends(new) is not None:
+            self.handle.registerTimer(self.ends(new))
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        value = self.current()
+        if value is not None and self.ends(value) is not None and self.ends(value) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+            yield self.rows(key, value, gone=True)
 
-def fold_audit(state: DataFrame | None, batch: DataFrame) -> DataFrame:
+
+class Audit(_Keyed):
     """Last birth or death and last lifecycle per id (SS3)."""
-    c = F.col
-    birth = c("op").isin("delete") | ((c("op") == "create") & c("new").isNotNull())
-    life = (c("op") == "update") & (c("field") == "lifecycle") & c("new").isNotNull()
-    rows = batch.filter(birth | life).select(
-        "id",
-        F.when(birth, c("seq")).alias("born"), F.when(birth, c("op")).alias("birth_op"), F.when(birth, c("new")).alias("content"),
-        F.when(life, c("seq")).alias("life_seq"), F.when(life, c("new")).alias("lifecycle"),
-    )
-    return _with(state, rows).groupBy("id").agg(
-        F.max("born").alias("born"), F.max_by("birth_op", "born").alias("birth_op"),
-        F.max_by(F.struct("content"), "born")["content"].alias("content"),
-        F.max("life_seq").alias("life_seq"), F.max_by("lifecycle", "life_seq").alias("lifecycle"),
+
+    keys, fields = ("id",), AUDIT
+
+    def fold(self, old, rows):
+        value = dict(old) if old else dict.fromkeys(self.names)
+        for r in rows:
+            if r["op"] == "delete" or (r["op"] == "create" and r["new"] is not None):
+                if value["born"] is None or r["seq"] > value["born"]:
+                    value |= {"born": r["seq"], "birth_op": r["op"], "content": r["new"]}
+            elif r["op"] == "update" and r["field"] == "lifecycle" and r["new"] is not None:
+                if value["life_seq"] is None or r["seq"] > value["life_seq"]:
+                    value |= {"life_seq": r["seq"], "lifecycle": r["new"]}
+        return None if value == (old or dict.fromkeys(self.names)) else value
+
+
+class Files(_Keyed):
+    """State of each path after its newest event (SS4); a null hash deletes.
+
+    The newest event and the one before it are kept, a deletion like any other,
+    so events may come out of order; ``status`` tells what the newest one did.
+    """
+
+    keys, fields = ("path",), FILE
+    event = ("content_hash", "signature", "seq")
+
+    def fold(self, old, rows):
+        value = dict(old) if old else dict.fromkeys(self.names)
+        for r in rows:
+            if value["seq"] is None or r["seq"] > value["seq"]:
+                value |= {"old_hash": value["content_hash"], "old_signature": value["signature"], "old_seq": value["seq"]}
+                value |= {c: r[c] for c in self.event}
+            elif r["seq"] < value["seq"] and (value["old_seq"] is None or r["seq"] > value["old_seq"]):
+                value |= {"old_hash": r["content_hash"], "old_signature": r["signature"], "old_seq": r["seq"]}
+        if value["content_hash"] is None:
+            value["status"] = "deleted"
+        elif value["old_hash"] is None:
+            value["status"] = "new"
+        elif value["content_hash"] == value["old_hash"]:
+            value["status"] = "unchanged"
+        else:
+            value["status"] = "cosmetic" if value["signature"] == value["old_signature"] else "structural"
+        return None if value == old else value
+
+
+def changes(rows: DataFrame, processor: _Keyed, key_types: str, time: str | None = None, delay: str = "0 seconds") -> DataFrame:
+    """The stream of changed rows: keys, fields, ``version``, ``gone``. With
+    ``time``, timers follow the watermark of that column."""
+    rows.sparkSession.conf.set(_STORE, _ROCKS)
+    timed = rows.withWatermark(time, delay) if time else rows
+    return timed.groupBy(*processor.keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=f"{key_types}, {processor.fields}, version long, gone boolean",
+        outputMode="Append", timeMode="EventTime" if time else "None")
+
+
+def slot_changes(writes: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """SS1 over ``writes(scope, key, value, ttl_ms, last_updated_at, seq)``."""
+    return changes(writes, Slots(), "scope string, key string", "last_updated_at", delay)
+
+
+def audit_changes(log: DataFrame) -> DataFrame:
+    """SS3 over ``log(id, seq, op, field, new)``."""
+    return changes(log.select("id", "seq", "op", "field", "new"), Audit(), "id string")
+
+
+def file_changes(events: DataFrame) -> DataFrame:
+    """SS4 over ``events(path, content_hash, signature, seq)``."""
+    return changes(events.select("path", "content_hash", "signature", "seq"), Files(), "path string")
+
+
+def append_to(stream: DataFrame, path: str) -> StreamingQuery:
+    """Append the stream's rows to ``path/rows`` until the present input is read;
+    called again with the same path it goes on."""
+    return (
+        stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
+        .outputMode("append").trigger(availableNow=True).start()
     )
 
 
+def latest(spark: SparkSession, path: str, keys: tuple[str, ...], schema: str | None = None) -> DataFrame:
+    """The table behind a sink: the last row of every key that is not gone."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    rows = reader.parquet(f"{path}/rows")
+    # a slot that was gone begins anew at version 1, so time decides where there is one
+    timed = "last_updated_at" in rows.columns
+    by = [F.col(c) for c in (["last_updated_at", "seq", "gone"] if timed else ["version"])]
+    return pick_one(rows, list(keys), by).filter("NOT gone").drop("version", "gone")
+
+
 def audit_state(state: DataFrame) -> DataFrame:
     """Live entries of a folded audit state."""
     live = state.filter("birth_op = 'create'").select(
@@ -88,27 +216,6 @@ def audit_state(state: DataFrame) -> DataFrame:
     return pick_one(live, ["content"], [F.col("born"), F.col("id")], keep="min")
 
 
-def fold_files(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Changed files patch the file table (SS4): ``batch(path, content_hash,
-    signature, seq)``; a null hash deletes. A row older than the stored one
-    changes nothing, and a deletion leaves a row behind, so events may arrive
-    out of order. ``status`` tells what the last event did to the file."""
-    cols = ["path", "content_hash", "signature", "seq"]
-    latest = pick_one(batch.select(*cols), ["path"], [F.col("seq")])
-    if state is None:
-        return latest.withColumn("status", F.when(F.col("content_hash").isNull(), "deleted").otherwise("new"))
-    old = state.select("path", F.col("content_hash").alias("_oh"), F.col("signature").alias("_os"), F.col("seq").alias("_oseq"))
-    fresh = latest.join(old, "path", "left").filter("_oseq IS NULL OR seq > _oseq")
-    status = (
-        F.when(F.col("content_hash").isNull(), "deleted").when(F.col("_oh").isNull(), "new")
-        .when(F.col("content_hash") == F.col("_oh"), "unchanged")
-        .when(F.col("signature") == F.col("_os"), "cosmetic").otherwise("structural")
-    )
-    patched = fresh.select(*cols, status.alias("status"))
-    untouched = state.join(patched.select("path"), "path", "left_anti")
-    return untouched.select(*cols, "status").unionByName(patched)
-
-
 def stream_dedup(rows: DataFrame, delay: str, time: str = "ts") -> DataFrame:
     """First row per (scope, content) within the watermark (SS2). The watermark
     bounds the state: a copy arriving later than ``delay`` counts as new."""

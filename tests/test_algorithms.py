@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import hashing, text
 from graphloom.operators import corpus, graphalg, joins, knowledge, memory, ranking, search, stats
-from graphloom.streaming import tables
 
 E = "source string, target string, type string"
 
@@ -226,14 +225,6 @@ def test_slot_expiry_is_strict(spark):
     assert {r.key for r in memory.live_slots(s, t + dt.timedelta(seconds=1)).collect()} == {"k", "i"}
 
 
-def test_file_fold_takes_events_in_any_order(spark):
-    schema = "path string, content_hash string, signature string, seq long"
-    first = spark.createDataFrame([("a", None, None, 5), ("b", "h1", "s", 1), ("c", "h", "s", 1)], schema)
-    second = spark.createDataFrame([("a", "h", "s", 2), ("b", "h2", "s", 3), ("c", "h2", "t", 4)], schema)
-    state = tables.fold_files(tables.fold_files(None, first), second)
-    assert {(r.path, r.status) for r in state.collect()} == {("a", "deleted"), ("b", "cosmetic"), ("c", "structural")}
-
-
 def test_graph_queries_read_all_edges(spark):
     from __spark_entry__ import queries
     from graphloom.plans.registry import view
