@@ -8,41 +8,34 @@ sink commits are the engine's, so a restarted stream goes on where it was.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from graphloom.functions.hashing import content_key
 from graphloom.operators.dedup import pick_one
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Keyed state needs the engine's RocksDB store; its commits send changes, not whole snapshots.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
-SLOT = "value string, ttl_ms long, last_updated_at timestamp, seq long"
+SLOT = "value string, ttl_ms long, at long, seq long"
 AUDIT = "born long, birth_op string, content string, life_seq long, lifecycle string"
 FILE = ("content_hash string, signature string, seq long, old_hash string, old_signature string, old_seq long, "
         "status string")
 
 
-def _plain(value: Any) -> Any:
-    """A pandas scalar as the state store takes it."""
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
-        return None
-    if isinstance(value, pd.Timestamp):
-        return value.to_pydatetime()
-    return value.item() if hasattr(value, "item") else value
-
-
 class _Keyed(StatefulProcessor):
     """One value per key; ``fold`` gives the new value, or None for no change.
 
-    Rows of one key reach ``fold`` batch by batch, so a hot key holds no more
-    than an Arrow batch. ``version`` counts the changes of a key.
+    Rows are folded one by one, so a hot key is never held whole. ``version``
+    counts the changes of a key.
     """
 
     keys: tuple[str, ...]
@@ -53,7 +46,7 @@ class _Keyed(StatefulProcessor):
         self.state = handle.getValueState("row", f"{self.fields}, version long")
         self.names = [f.strip().split(" ")[0] for f in self.fields.split(",")]
 
-    def fold(self, old: dict | None, rows: list[dict]) -> dict | None:
+    def fold(self, old: dict | None, row: Row) -> dict | None:
         raise NotImplementedError
 
     def changed(self, old: dict | None, new: dict) -> None:
@@ -61,22 +54,21 @@ class _Keyed(StatefulProcessor):
 
     def current(self) -> dict | None:
         found = self.state.get()
-        return None if found is None else dict(zip([*self.names, "version"], map(_plain, found)))
+        return None if found is None else dict(zip([*self.names, "version"], found))
 
-    def rows(self, key: Any, value: dict, gone: bool = False) -> pd.DataFrame:
-        row = dict(zip(self.keys, key)) | value | {"gone": gone}
-        return pd.DataFrame({c: pd.Series([v], dtype=object) for c, v in row.items()})
+    def said(self, key: Any, value: dict, gone: bool = False) -> Row:
+        return Row(*self.keys, *self.names, "version", "gone")(*key, *(value[c] for c in self.names), value["version"], gone)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         before = value = self.current()
-        for pdf in rows:
-            new = self.fold(value, [{c: _plain(v) for c, v in r.items()} for r in pdf.to_dict("records")])
+        for row in rows:
+            new = self.fold(value, row)
             value = value if new is None else new
         if value is not before:
             value = {c: value[c] for c in self.names} | {"version": ((before or {}).get("version") or 0) + 1}
             self.state.update(tuple(value.values()))
             self.changed(before, value)
-            yield self.rows(key, value)
+            yield self.said(key, value)
 
     def close(self) -> None:
         pass
@@ -92,17 +84,14 @@ class Slots(_Keyed):
 
     keys, fields = ("scope", "key"), SLOT
 
-    def fold(self, old, rows):
-        best = max(rows, key=lambda r: (r["last_updated_at"], r["seq"]))
-        return best if old is None or (best["last_updated_at"], best["seq"]) > (old["last_updated_at"], old["seq"]) else None
+    def fold(self, old, row):
+        newer = old is None or (row["at"], row["seq"]) > (old["at"], old["seq"])
+        return {c: row[c] for c in self.names} if newer else None
 
     @staticmethod
     def ends(value: dict) -> int | None:
         """The first whole millisecond at which the slot has outlived its time."""
-        if value["ttl_ms"] is None:
-            return None
-        age = value["last_updated_at"].replace(tzinfo=dt.timezone.utc) - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
-        return age // dt.timedelta(milliseconds=1) + value["ttl_ms"] + 1
+        return None if value["ttl_ms"] is None else value["at"] // 1000 + value["ttl_ms"] + 1
 
     def changed(self, old, new):
         if old is not None and self.ends(old) is not None:
@@ -114,7 +103,7 @@ class Slots(_Keyed):
         value = self.current()
         if value is not None and self.ends(value) is not None and self.ends(value) <= expiredTimerInfo.getExpiryTimeInMs():
             self.state.clear()
-            yield self.rows(key, value, gone=True)
+            yield self.said(key, value, gone=True)
 
 
 class Audit(_Keyed):
@@ -122,16 +111,15 @@ class Audit(_Keyed):
 
     keys, fields = ("id",), AUDIT
 
-    def fold(self, old, rows):
+    def fold(self, old, row):
         value = dict(old) if old else dict.fromkeys(self.names)
-        for r in rows:
-            if r["op"] == "delete" or (r["op"] == "create" and r["new"] is not None):
-                if value["born"] is None or r["seq"] > value["born"]:
-                    value |= {"born": r["seq"], "birth_op": r["op"], "content": r["new"]}
-            elif r["op"] == "update" and r["field"] == "lifecycle" and r["new"] is not None:
-                if value["life_seq"] is None or r["seq"] > value["life_seq"]:
-                    value |= {"life_seq": r["seq"], "lifecycle": r["new"]}
-        return None if value == (old or dict.fromkeys(self.names)) else value
+        if row["op"] == "delete" or (row["op"] == "create" and row["new"] is not None):
+            if value["born"] is None or row["seq"] > value["born"]:
+                return value | {"born": row["seq"], "birth_op": row["op"], "content": row["new"]}
+        elif row["op"] == "update" and row["field"] == "lifecycle" and row["new"] is not None:
+            if value["life_seq"] is None or row["seq"] > value["life_seq"]:
+                return value | {"life_seq": row["seq"], "lifecycle": row["new"]}
+        return None
 
 
 class Files(_Keyed):
@@ -144,14 +132,15 @@ class Files(_Keyed):
     keys, fields = ("path",), FILE
     event = ("content_hash", "signature", "seq")
 
-    def fold(self, old, rows):
+    def fold(self, old, row):
         value = dict(old) if old else dict.fromkeys(self.names)
-        for r in rows:
-            if value["seq"] is None or r["seq"] > value["seq"]:
-                value |= {"old_hash": value["content_hash"], "old_signature": value["signature"], "old_seq": value["seq"]}
-                value |= {c: r[c] for c in self.event}
-            elif r["seq"] < value["seq"] and (value["old_seq"] is None or r["seq"] > value["old_seq"]):
-                value |= {"old_hash": r["content_hash"], "old_signature": r["signature"], "old_seq": r["seq"]}
+        if value["seq"] is None or row["seq"] > value["seq"]:
+            value |= {"old_hash": value["content_hash"], "old_signature": value["signature"], "old_seq": value["seq"]}
+            value |= {c: row[c] for c in self.event}
+        elif row["seq"] < value["seq"] and (value["old_seq"] is None or row["seq"] > value["old_seq"]):
+            value |= {"old_hash": row["content_hash"], "old_signature": row["signature"], "old_seq": row["seq"]}
+        else:
+            return None
         if value["content_hash"] is None:
             value["status"] = "deleted"
         elif value["old_hash"] is None:
@@ -160,22 +149,25 @@ class Files(_Keyed):
             value["status"] = "unchanged"
         else:
             value["status"] = "cosmetic" if value["signature"] == value["old_signature"] else "structural"
-        return None if value == old else value
+        return value
 
 
 def changes(rows: DataFrame, processor: _Keyed, key_types: str, time: str | None = None, delay: str = "0 seconds") -> DataFrame:
     """The stream of changed rows: keys, fields, ``version``, ``gone``. With
     ``time``, timers follow the watermark of that column."""
-    rows.sparkSession.conf.set(_STORE, _ROCKS)
+    for key, value in _STORE.items():
+        rows.sparkSession.conf.set(key, value)
     timed = rows.withWatermark(time, delay) if time else rows
-    return timed.groupBy(*processor.keys).transformWithStateInPandas(
+    return timed.groupBy(*processor.keys).transformWithState(
         statefulProcessor=processor, outputStructType=f"{key_types}, {processor.fields}, version long, gone boolean",
         outputMode="Append", timeMode="EventTime" if time else "None")
 
 
 def slot_changes(writes: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """SS1 over ``writes(scope, key, value, ttl_ms, last_updated_at, seq)``."""
-    return changes(writes, Slots(), "scope string, key string", "last_updated_at", delay)
+    timed = writes.withColumn("at", F.unix_micros("last_updated_at"))
+    return changes(timed, Slots(), "scope string, key string", "last_updated_at", delay).withColumn(
+        "last_updated_at", F.timestamp_micros("at")).drop("at")
 
 
 def audit_changes(log: DataFrame) -> DataFrame:

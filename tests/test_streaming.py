@@ -59,7 +59,7 @@ def test_slots_expire_and_restart(stream):
 
 
 def test_slot_end_is_strict():
-    value = {"ttl_ms": 999, "last_updated_at": dt.datetime(1970, 1, 1, 0, 0, 1), "seq": 1}
+    value = {"ttl_ms": 999, "at": 1_000_999, "seq": 1}
     assert tables.Slots.ends(value) == 2000 and tables.Slots.ends(value | {"ttl_ms": None}) is None
 
 
