@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +10,9 @@ from graphloom.functions import memory as fm
 from graphloom.functions.columns import days_between
 from graphloom.functions.hashing import content_key
 from graphloom.operators.dedup import pick_one
+from graphloom.operators.graphalg import components
 from graphloom.operators.ranking import row_numbers, top_k
+from graphloom.session import checkpointed
 
 
 def insert_if_new(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,29 +124,70 @@ def classify_audit(audit: DataFrame, entities: list[str] | None = None, ops: lis
     return audit.withColumn("outcome", outcome)
 
 
+def _accepted(batches):
+    """Creates that stay at the end of each group, its rows in log order.
+
+    A create is refused while another live id of its scope is the last to have
+    stored the same content; a delete frees the content its id holds at that
+    time. Memory holds the live ids and contents of one group.
+    """
+    group, live, owner = None, {}, {}
+
+    def ended():
+        return pd.DataFrame({"id": list(live), "born": [v[2] for v in live.values()]})
+
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            if row.group != group:
+                if live:
+                    yield ended()
+                group, live, owner = row.group, {}, {}
+            if row.op == "delete":
+                gone = live.pop(row.id, None)
+                if gone is not None:
+                    owner.pop(gone[0], None)
+                continue
+            held = owner.get(row.key)
+            if held is not None and held != row.id and held in live and live[held][1] == row.scope:
+                continue
+            live[row.id] = (row.key, row.scope, row.seq)
+            owner[row.key] = row.id
+    if live:
+        yield ended()
+
+
 def replay(audit: DataFrame, entities: list[str] | None = None, ops: list[str] | None = None) -> DataFrame:
-    """State after replaying the log (MM5): per id its last create or delete,
-    then the last lifecycle update after it. Of live ids with equal content in
-    a scope the earliest stays. All steps are grouped max_by aggregates."""
+    """State after replaying the log (MM5): the live ids, each with its last
+    accepted create and the last lifecycle update after it.
+
+    Only ids that once stored a content which other ids stored too can have a
+    create refused. They are split into groups that share contents, and each
+    group is folded in log order as a sorted stream of ids and content hashes;
+    all other ids need no more than their last create or delete.
+    """
     rows = classify_audit(audit, entities, ops).filter("outcome = 'applied'")
     scope = F.col("scope") if "scope" in audit.columns else F.lit("default")
-    birth = (
-        rows.filter("op IN ('create', 'delete')").groupBy("id")
-        .agg(
-            F.max("seq").alias("born"),
-            F.max_by(F.struct("op", F.col("new").alias("content"), scope.alias("scope")), "seq").alias("b"),
-        )
-        .filter("b.op = 'create'").select("id", "born", "b.content", "b.scope")
+    births = checkpointed(rows.filter("op IN ('create', 'delete')").select(
+        "id", "seq", "op", F.coalesce(scope, F.lit("default")).alias("scope"),
+        F.when(F.col("op") == "create", content_key(F.col("new"))).alias("key")))
+    stored = births.filter("op = 'create'").groupBy("key").agg(F.min("id").alias("target"), F.max("id").alias("_last"))
+    shared = births.filter("op = 'create'").select("key", F.col("id").alias("source")).distinct().join(
+        stored.filter("target <> _last"), "key").select("source", "target")
+    links = checkpointed(shared.distinct())
+    groups = components(links.select(F.col("source").alias("id")).distinct(), links).toDF("id", "group")
+    folded = (
+        births.join(groups, "id").select("group", "seq", "id", "op", "scope", "key")
+        .repartition("group").sortWithinPartitions("group", "seq").mapInPandas(_accepted, "id string, born long")
     )
+    alone = births.join(groups, "id", "left_anti").groupBy("id").agg(
+        F.max("seq").alias("born"), F.max_by("op", "seq").alias("op")).filter("op = 'create'").select("id", "born")
+    live = checkpointed(folded.unionByName(alone))
+    created = rows.filter("op = 'create'").select(
+        "id", F.col("seq").alias("born"), F.coalesce(scope, F.lit("default")).alias("scope"), F.col("new").alias("content"))
     cycles = rows.filter("op = 'update' AND field = 'lifecycle' AND new IS NOT NULL").select("id", "seq", "new")
-    after = (
-        cycles.join(birth.select("id", "born"), "id").filter("seq > born")
-        .groupBy("id").agg(F.max_by("new", "seq").alias("lifecycle"))
-    )
-    live = birth.join(after, "id", "left").withColumn("lifecycle", F.coalesce("lifecycle", F.lit("active")))
-    return pick_one(live, ["scope", "content"], [F.col("born"), F.col("id")], keep="min").select(
-        "id", "scope", "content", "lifecycle", "born"
-    )
+    after = cycles.join(live, "id").filter("seq > born").groupBy("id").agg(F.max_by("new", "seq").alias("lifecycle"))
+    return created.join(live, ["id", "born"]).join(after, "id", "left").select(
+        "id", "scope", "content", F.coalesce("lifecycle", F.lit("active")).alias("lifecycle"), "born")
 
 
 def archive_sessions(sessions: DataFrame) -> DataFrame:

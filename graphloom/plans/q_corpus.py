@@ -62,7 +62,15 @@ def _(get):
     return get("documents").select("doc_id", hashing.content_key(F.col("text")).alias("hash"))
 
 
-@query("fn8_legacy_hashes")
+@query(
+    "fn8_legacy_hashes",
+    """WITH o_u AS (SELECT doc_id, flatten(list_transform(CASE WHEN text = '' THEN [] ELSE string_split(text, '') END, lambda c: CASE WHEN unicode(c) > 65535
+        THEN [55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)] ELSE [unicode(c)] END)) AS u FROM documents)
+    SELECT doc_id, lpad(lower(hex(CAST(list_reduce(list_prepend(CAST('14695981039346656037' AS UHUGEINT), CAST(u AS UHUGEINT[])),
+        lambda h, x: (xor(h, x) * CAST('1099511628211' AS UHUGEINT)) % CAST('18446744073709551616' AS UHUGEINT)) AS UBIGINT))), 16, '0') AS fnv,
+      lpad(lower(hex(CAST(list_reduce(list_prepend(CAST(5381 AS BIGINT), CAST(u AS BIGINT[])), lambda h, x: (h * 33 + x) % 4294967296) AS UBIGINT))), 8, '0') AS djb2
+    FROM o_u""",
+)
 def _(get):
     return get("documents").select("doc_id", hashing.fnv1a64("text").alias("fnv"), hashing.djb2("text").alias("djb2"))
 

@@ -152,7 +152,26 @@ O_LAST_BIRTH = """o_c AS (SELECT *, CASE WHEN entity <> 'memory' THEN 'skipped'
  o_s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY born, id) AS rn FROM o_l) WHERE rn = 1)"""
 
 
-@query("mm5_replay_state", f"WITH {O_LAST_BIRTH} SELECT id, content, lifecycle, born FROM o_s")
+#: The log run op by op, with the live entries and the last holder of each content.
+O_MM5 = """WITH RECURSIVE o_ops AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seq) AS k, id, op, new AS content, seq FROM v_audit
+   WHERE entity = 'memory' AND (op = 'delete' OR (op = 'create' AND new IS NOT NULL))),
+ o_run AS (SELECT CAST(0 AS BIGINT) AS k, CAST(MAP {} AS MAP(VARCHAR, STRUCT(content VARCHAR, born BIGINT))) AS ents, CAST(MAP {} AS MAP(VARCHAR, VARCHAR)) AS holds
+   UNION ALL
+   SELECT k, CASE WHEN op = 'delete' THEN map_from_entries(list_filter(map_entries(ents), lambda e: e.key <> id))
+                  WHEN refused THEN ents ELSE map_concat(ents, MAP {id: {content: content, born: seq}}) END,
+          CASE WHEN op = 'delete' THEN CASE WHEN ents[id] IS NULL THEN holds ELSE map_from_entries(list_filter(map_entries(holds), lambda e: e.key <> ents[id].content)) END
+               WHEN refused THEN holds ELSE map_concat(holds, MAP {content: id}) END
+   FROM (SELECT o.*, ents, holds, op = 'create' AND holds[o.content] IS NOT NULL AND holds[o.content] <> id AND ents[holds[o.content]] IS NOT NULL AS refused
+         FROM o_run r JOIN o_ops o ON o.k = r.k + 1)),
+ o_live AS (SELECT e.key AS id, e.value.content AS content, e.value.born AS born FROM (SELECT unnest(map_entries(ents)) AS e FROM o_run WHERE k = (SELECT max(k) FROM o_run)))"""
+
+
+@query(
+    "mm5_replay_state",
+    f"""{O_MM5} SELECT l.id, l.content, coalesce(arg_max(a.new, a.seq), 'active') AS lifecycle, l.born FROM o_live l
+    LEFT JOIN v_audit a ON a.id = l.id AND a.seq > l.born AND a.entity = 'memory' AND a.op = 'update' AND a.field = 'lifecycle' AND a.new IS NOT NULL
+    GROUP BY ALL""",
+)
 def _(get):
     return mem.replay(get("v_audit"), ["memory"]).select("id", "content", "lifecycle", "born")
 

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import hashing, text
@@ -305,3 +306,55 @@ def test_consolidate_appends_examples(spark):
     assert versions == [("L", 2), ("M", 2), ("N", 4)]
     assert ids == [("L", 0, "a"), ("L", 1, "b"), *[("L", k + 2, f"n{k}") for k in range(7)], ("M", 0, "m"), ("N", 0, "c")]
     assert shown == [("L", 0, "a", "text a"), *[("L", k + 1, f"n{k}", f"{k}" * 80) for k in range(5)], ("M", 0, "m", "short")]
+
+
+def plain_replay(log):
+    """The log run row by row."""
+    live, holder = {}, {}
+    for n, (i, op, field, new, scope) in enumerate(log):
+        scope = scope or "default"
+        if op == "create" and new is not None:
+            other = holder.get(new)
+            if other is not None and other != i and other in live and live[other][0] == scope:
+                continue
+            live[i] = [scope, new, "active", n]
+            holder[new] = i
+        elif op == "delete" and i in live:
+            holder.pop(live.pop(i)[1], None)
+        elif op == "update" and field == "lifecycle" and new is not None and i in live:
+            live[i][2] = new
+    return {(i, *v) for i, v in live.items()}
+
+
+@pytest.mark.parametrize(("n", "ids", "contents"), [(10_000, 300, 200), (10_000, 4_000, 9_000), (500, 3, 2), (0, 1, 1)])
+def test_replay_equals_the_log_run_row_by_row(spark, n, ids, contents):
+    pick = random.Random(n + ids)
+    ops = ["create", "create", "create", "delete", "update", "update", "read"]
+    log = []
+    for _ in range(n):
+        op, i = pick.choice(ops), f"i{pick.randrange(ids)}"
+        new = f"c{pick.randrange(contents)}" if op == "create" and pick.random() < 0.95 else pick.choice(["stale", "archived", None]) if op == "update" else None
+        log.append((i, op, pick.choice(["lifecycle", "confidence"]) if op == "update" else None, new, pick.choice([None, "a", "a", "b"])))
+    rows = [(k, "memory", *r) for k, r in enumerate(log)]
+    pick.shuffle(rows)
+    audit = spark.createDataFrame(rows, "seq long, entity string, id string, op string, field string, new string, scope string")
+    got = {(r.id, r.scope, r.content, r.lifecycle, r.born) for r in memory.replay(audit).collect()}
+    assert got == plain_replay(log)
+
+
+def test_legacy_hashes_of_a_batch():
+    import pandas as pd
+
+    pick = random.Random(1)
+    texts = ["", "a", "\U0001F600é", "x" * 5000, *("".join(chr(pick.randrange(1, 0xD000)) for _ in range(pick.randrange(40))) for _ in range(60))]
+
+    def units(t):
+        raw = t.encode("utf-16-le")
+        return [raw[k] | raw[k + 1] << 8 for k in range(0, len(raw), 2)]
+
+    for t, f, d in zip(texts, hashing.fnv1a64_of(pd.Series(texts)).tolist(), hashing.djb2_of(pd.Series(texts)).tolist()):
+        h, g = 0xCBF29CE484222325, 5381
+        for u in units(t):
+            h, g = (h ^ u) * 0x100000001B3 % 2**64, (g * 33 + u) % 2**32
+        assert (f, d) == (h, g)
+    assert hashing.fnv1a64_of(pd.Series([], dtype=object)).tolist() == [] == hashing.djb2_of(pd.Series([], dtype=object)).tolist()
