@@ -28,7 +28,7 @@ from graphloom.session import checkpointed
 ZERO, MARK, END = "\ue000", "\ue001", "\ue002"
 PAIR_BUCKETS, WORD_BUCKETS = 1 << 16, 1 << 16
 #: Most words of the literal word map, and words folded together in a text.
-FREQUENT = 200_000
+FREQUENT = 100_000
 CHUNK = 2048
 #: From this many symbols on, pairs are cut by one pattern pass and not one by one.
 LONG = 64
@@ -136,7 +136,10 @@ class Codec:
         if cut is not None:
             chosen = counts.filter(F.col("n") >= cut)
             folded = bind(self.ranks, lambda ranks: self.fold(F.col("word"), ranks)).alias("s")
-            known = {r["word"]: r["s"] for r in chosen.select("word", folded).collect()} | known
+            found = {}
+            for batch in chosen.select("word", folded).toArrow().to_batches():  # at most ``limit`` rows, packed
+                found.update(zip(batch["word"].to_pylist(), batch["s"].to_pylist()))
+            known = found | known
         return bucketed(((w + END, s) for w, s in known.items()), WORD_BUCKETS)
 
     def encode(self, text: str | Column, known: Column) -> Column:
