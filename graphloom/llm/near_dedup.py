@@ -7,10 +7,11 @@ short documents compare like long ones. Bands of registers give candidates; the
 registers give a first Jaccard estimate, corrected for chance collisions; full
 shingle sets decide.
 
-Documents of equal shingle sets are one class. Within a band the classes are
-compared with a few pivots of it, which joins most of them; then those of
-different components are compared with each other, so no link that joins two
-components is lost, and no pair is made inside a component.
+Documents of equal shingle sets are one class, named by the digest of the set.
+In a few rounds every class is compared with one pivot, the best of its bands,
+which joins most of a group; then classes of different components are compared
+inside tasks, so no link that joins two components is lost. Only links become
+rows, and of those only as many as join something.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import whole
+from graphloom.llm.common import partitions, whole
 from graphloom.operators.graphalg import components
 from graphloom.session import checkpointed
 
@@ -32,7 +33,9 @@ ROWS, BANDS = 6, 42
 #: Estimates are dropped if so many deviations below the threshold.
 DEVIATIONS = 5
 #: Members of one band that are compared in one task at a time.
-BLOCK = 1024
+BLOCK = 512
+#: Rounds of comparing each class with one pivot.
+ROUNDS = 3
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 CACHE = 500_000
 
@@ -129,12 +132,13 @@ def bands(sketch: str, rows: int = ROWS, n: int = BANDS) -> Column:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, shingles``: sorted hashes, packed."""
+    """``class, shingles``: sorted hashes of each text, packed, and their digest."""
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: shingles(t, width).tobytes())
+    def run(texts: pd.Series) -> pd.DataFrame:
+        packed = [shingles(t, width).tobytes() for t in texts]
+        return pd.DataFrame({"class": [xxhash.xxh3_128_digest(b) for b in packed], "shingles": packed})
 
-    return docs.select("doc_id", F.pandas_udf(run, "binary")(whole("text")).alias("shingles"))
+    return docs.select(F.pandas_udf(run, "class binary, shingles binary")(whole("text")).alias("s")).select("s.*")
 
 
 def least_estimate(size: np.ndarray, registers: int, threshold: float) -> np.ndarray:
@@ -152,14 +156,15 @@ def _close(threshold: float, r: int):
     return run
 
 
+def linked(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """Whether two full sets reach the threshold."""
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return 100 * both >= percent * (len(u) + len(v) - both)
+
+
 def _linked(percent: int):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(u, v, assume_unique=True))
-            out.append(100 * both >= percent * (len(u) + len(v) - both))
-        return pd.Series(out, dtype=bool)
+        return pd.Series([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b)], dtype=bool)
 
     return run
 
@@ -185,40 +190,79 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
 
 
 def _pivot_pairs(banded: DataFrame, percent: int) -> DataFrame:
-    """Every member of a band with a few of it: the smallest, the one that meets
-    most others over all its bands (the likely original of a group of copies) and
-    one by hash. These links join most of a group."""
-    met = banded.groupBy("rep").agg(F.sum("n").alias("met"))
-    rows = banded.join(met, "rep").select("band", "rep", "n_shingles", "met")
-    entry = F.struct(F.col("rep").alias("a"), F.col("n_shingles").alias("_na"))
-    pivots = rows.groupBy("band").agg(F.array_distinct(F.array(
-        F.min(entry), F.max_by(entry, F.struct("met", -F.col("rep"))), F.min_by(entry, F.xxhash64("rep")))).alias("pivots"))
-    pairs = rows.toDF("band", "b", "_nb", "_met").join(pivots, "band").select("b", "_nb", F.inline("pivots"))
-    return pairs.filter((F.col("a") != F.col("b")) & comparable(percent)).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _block_pairs(group: pd.DataFrame, threshold: float, r: int) -> pd.DataFrame:
-    """Pairs of one block pair of a band, of different components, whose
-    estimate allows a link. A row of registers meets all later ones at once."""
+    """One pair ``a, b`` for each member of a mixed band: ``b`` with the pivot
+    that meets most others, over its bands. Pivots of a band are taken from
+    outside its main component, if there is one; ``banded`` has ``band, rep,
+    n_shingles, met, component, main``."""
+    entry = F.struct("met", F.col("rep").alias("a"), F.col("n_shingles").alias("_na"), F.col("component").alias("_ca"))
+    outside = F.col("main").isNull() | (F.col("component") != F.col("main"))
+    pivots = banded.filter(outside).groupBy("band").agg(F.max(entry).alias("pivot"))
+    met = banded.filter(outside).join(pivots, "band").select(
+        F.col("rep").alias("b"), F.col("n_shingles").alias("_nb"), "component", "pivot.*").filter(
+        (F.col("component") != F.col("_ca")) & comparable(percent))
+    best = met.groupBy("b").agg(F.max(F.struct("met", "a")).alias("best"))
+    return best.select(F.least("best.a", "b").alias("a"), F.greatest("best.a", "b").alias("b")).distinct()
+
+
+def _mixed(banded: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of bands with several components, with ``component``, the
+    band's largest one as ``main`` (null while all are single), and the sizes
+    inside (``n_main``) and outside of it (``n_rest``)."""
+    member = banded.join(labels, "rep")
+    each = member.groupBy("band", "component").agg(F.count("*").alias("n"))
+    top = F.max(F.struct("n", "component"))
+    sizes = each.groupBy("band").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), top.alias("top")).filter("kinds > 1")
+    return member.join(sizes.select(
+        "band", F.when(F.col("top.n") > 1, F.col("top.component")).alias("main"),
+        F.when(F.col("top.n") > 1, F.col("top.n")).otherwise(0).alias("n_main"), F.col("all")), "band"
+    ).withColumn("n_rest", F.col("all") - F.col("n_main")).drop("all")
+
+
+def _block_links(group: pd.DataFrame, percent: int, r: int) -> pd.DataFrame:
+    """Links of one block pair of a band that join something. A row of registers
+    meets all later ones at once; pairs met in an earlier band are left to it;
+    those that may be linked are decided by their full sets, unless links found
+    here have joined them already."""
+    threshold = percent / 100
     group = group.drop_duplicates("rep")
-    own = group["chunk"].to_numpy() == group["x"].to_numpy()
-    first, second = (group, group) if (group["x"] == group["y"]).all() else (group[own], group[~own])
+    left, band = group["side"].to_numpy() == 0, group["at"].iloc[0]
+    first, second = (group, group) if left.all() else (group[left], group[~left])
+    if not len(first) or not len(second):
+        return pd.DataFrame({"a": [], "b": []})
     regs = [np.frombuffer(b"".join(g["sketch"]), np.uint16).reshape(len(g), -1) for g in (first, second)]
-    rep, size, part = ([g[c].to_numpy() for g in (first, second)] for c in ("rep", "n_shingles", "component"))
+    cut = [x[:, :BANDS * ROWS].reshape(len(x), BANDS, ROWS) for x in regs]
+    size, part = ([g[c].to_numpy() for g in (first, second)] for c in ("n_shingles", "component"))
+    rep, sets = ([g[c].tolist() for g in (first, second)] for c in ("rep", "shingles"))
+    parent: dict[bytes, bytes] = {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
     out = []
     for k in range(len(first)):
         small, large = np.minimum(size[0][k], size[1]), np.maximum(size[0][k], size[1])
         go = np.flatnonzero((part[0][k] != part[1]) & (small >= threshold * large))
         if first is second:
             go = go[go > k]
-        if len(go):
-            near = estimate(regs[0][k:k + 1], regs[1][go], r) >= least_estimate(small[go], regs[1].shape[1], threshold)
-            out += [(min(rep[0][k], b), max(rep[0][k], b)) for b in rep[1][go[near]]]
+        if not len(go):
+            continue
+        near = estimate(regs[0][k:k + 1], regs[1][go], r)
+        fit = near >= least_estimate(small[go], regs[1].shape[1], threshold)
+        go, near = go[fit], near[fit]
+        shared = (cut[0][k] == cut[1][go]).all(2)
+        here = shared.argmax(1) == band
+        go, near = go[here], near[here]
+        for at in go[np.argsort(-near, kind="stable")]:
+            x, y = root(part[0][k]), root(part[1][at])
+            if x != y and linked(np.frombuffer(sets[0][k], np.uint64), np.frombuffer(sets[1][at], np.uint64), percent):
+                parent[x] = y
+                out.append((rep[0][k], rep[1][at]))
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def _compared(threshold: float, r: int):
+def _compared(percent: int, r: int):
     def run(batches):
         kept = None
         for pdf in batches:
@@ -226,64 +270,93 @@ def _compared(threshold: float, r: int):
             keys = pdf[["band", "x", "y"]].to_numpy()
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             for lo, hi in zip(np.r_[0, cuts[:-1]], cuts):
-                yield _block_pairs(pdf.iloc[lo:hi], threshold, r)
+                yield _block_links(pdf.iloc[lo:hi], percent, r)
             kept = pdf.iloc[cuts[-1] if len(cuts) else 0:]  # the last group may go on
         if kept is not None and len(kept):
-            yield _block_pairs(kept, threshold, r)
+            yield _block_links(kept, percent, r)
 
     return run
 
 
-def _across(member: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one band in different components that may be linked.
+def _across(mixed: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between members of one band in different components.
 
-    The members of such bands are compared block by block inside tasks; only
-    pairs that pass the estimate become rows. Blocks are bounded, so a band of
-    any size is spread over its block pairs.
+    Members outside the band's main component, in blocks by hash, meet all
+    others block by block inside tasks; blocks are bounded, so a band of any
+    size is spread over its block pairs. ``y`` counts main blocks from 0 and
+    other blocks down from -1; ``side`` 0 is block ``x``.
     """
-    several = member.groupBy("band").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high")
-    order = Window.partitionBy("band").orderBy("rep")
-    rest = checkpointed(
-        member.join(several.select("band", "n"), "band")
-        .withColumn("chunk", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("int"))))
-        .select("band", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "rep",
-                "component")
-    )
-    blocks = rest.join(reps, "rep").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
-    return blocks.mapInPandas(_compared(percent / 100, R), "a long, b long").distinct()
+
+    def blocks(n: str) -> Column:
+        return F.ceil(F.col(n) / BLOCK).cast("int")
+
+    def each(n: str) -> Column:
+        return F.when(blocks(n) > 0, F.sequence(F.lit(0), blocks(n) - 1)).otherwise(F.array().cast("array<int>"))
+
+    own = F.pmod(F.xxhash64("rep", F.lit("block")), F.greatest(F.lit(1), F.when(
+        F.coalesce(F.col("component") == F.col("main"), F.lit(False)), blocks("n_main")).otherwise(blocks("n_rest")))).cast("int")
+    placed = mixed.withColumn("own", own)
+    inside = F.coalesce(F.col("component") == F.col("main"), F.lit(False))
+
+    def at(x: Column, y: Column, side: Column) -> Column:
+        return F.struct(x.alias("x"), y.alias("y"), side.alias("side"))
+
+    rest = F.concat(
+        F.transform(each("n_main"), lambda j: at(F.col("own"), j, F.lit(0))),
+        F.transform(each("n_rest"), lambda j: at(
+            F.least(F.col("own"), j), -1 - F.greatest(F.col("own"), j), (F.col("own") > j).cast("int"))))
+    main = F.transform(each("n_rest"), lambda i: at(i, F.col("own"), F.lit(1)))
+    spread = checkpointed(placed.select("band", "at", "rep", "component", F.inline(F.when(inside, main).otherwise(rest))))
+    full = spread.join(reps.join(sets, reps["rep"] == sets["class"]).drop("class"), "rep")
+    blocked = full.repartition(partitions(mixed.sparkSession), "band", "x", "y").sortWithinPartitions("band", "x", "y")
+    return blocked.mapInPandas(_compared(percent, R), "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every document.
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
 
     Documents are linked where the shared shingles are at least ``percent`` of
     all; a component takes its smallest ``doc_id``, which is kept. A text
     without words (null included) has no shingles and is linked with nothing.
-    Equal rows give equal rows. Documents without ``doc_id`` stay out.
+    Equal rows give equal rows; an id with several texts may stand in several
+    components. A row without id is compared like any other; its component is
+    null if none of its rows has an id, and it is never kept. Other columns are
+    not looked at; of an empty table the result is empty.
     """
-    known = checkpointed(sketched(docs.filter("doc_id IS NOT NULL"), width))
+    known = checkpointed(sketched(docs, width))
     classes = checkpointed(
         known.filter("n_shingles > 0").groupBy("class").agg(
-            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     )
-    banded = classes.select("rep", "n_shingles", F.explode(bands("sketch")).alias("band"))
+    banded = classes.select(F.col("class").alias("rep"), "n_shingles", F.posexplode(bands("sketch")).alias("at", "band"))
     crowded = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     banded = checkpointed(banded.join(crowded, "band"))
+    met = banded.groupBy("rep").agg(F.sum("n").alias("met"))
+    banded = checkpointed(banded.drop("n").join(met, "rep"))
     inside = checkpointed(banded.select(F.col("rep").alias("id")).distinct())
-    reps = classes.select("rep", "n_shingles", "sketch").join(inside.toDF("rep"), "rep", "left_semi")
-    sets = checkpointed(shingle_sets(
-        docs.join(inside.toDF("doc_id"), "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
-    pairs = checkpointed(_pivot_pairs(banded, percent))
-    links = _verified(pairs, reps, sets, percent)
-    labels = components(inside, links.toDF("source", "target")).toDF("rep", "component")
-    more = _verified(checkpointed(_across(banded.select("band", "rep").join(labels, "rep"), reps, percent)), reps, sets, percent)
+    reps = classes.select(F.col("class").alias("rep"), "n_shingles", "sketch").join(inside.toDF("rep"), "rep", "left_semi")
+    # a text of every class; other texts of the same id come along and go again
+    ids = classes.join(inside.toDF("class"), "class", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    sets = checkpointed(
+        shingle_sets(texts, width).join(inside.toDF("class"), "class", "left_semi").dropDuplicates(["class"]))
+    labels, links = inside.select(F.col("id").alias("rep"), F.col("id").alias("component")), None
+    for _ in range(ROUNDS):
+        pairs = checkpointed(_pivot_pairs(_mixed(banded, labels), percent))
+        if pairs.isEmpty():
+            break
+        found = _verified(pairs, reps, sets, percent)
+        if found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        labels = components(inside, links.toDF("source", "target")).toDF("rep", "component")
+    more = checkpointed(_across(_mixed(banded, labels).drop("n_shingles", "met"), reps, sets, percent))
     if not more.isEmpty():
-        links = links.unionByName(more)
+        links = more if links is None else links.unionByName(more)
         labels = components(inside, links.toDF("source", "target")).toDF("rep", "component")
-    named = classes.select("class", "rep").join(labels, "rep", "left").select(
-        "class", F.coalesce("component", "rep").alias("component"))
-    return known.join(named, "class", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
-    ).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    named = classes.select("class", "doc_id").join(labels.withColumnRenamed("rep", "class"), "class", "left").select(
+        "class", "doc_id", F.coalesce("component", "class").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return known.join(named.drop("doc_id").join(least, "component"), "class", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

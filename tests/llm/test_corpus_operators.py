@@ -136,6 +136,28 @@ def test_bands_larger_than_a_block(docs, monkeypatch):
     assert {i: r.component_id for i, r in got.items()} == {i: v[1] for i, v in plain_components(texts, 2).items()}
 
 
+def test_groups_beside_each_other_and_odd_ids(docs, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 1)
+    pick = random.Random(7)
+    texts, base = {}, [prose(pick, 50).split() for _ in range(3)]
+    for k in range(90):  # groups that differ by less and by more than the threshold
+        words = list(base[k % 3][:40] + base[(k // 3) % 3][40:])
+        for _ in range(pick.choice([0, 1, 1, 2, 4])):
+            words[pick.randrange(50)] = prose(pick, 1)
+        texts[k] = " ".join(words)
+    want = plain_components(texts, 2)
+    long = prose(pick, 9000)
+    table = [*texts.items(), texts_of := (0, texts[1]), (0, texts[0]), (None, long), (None, long), (None, texts[5]), (None, None)]
+    got = near_dedup.near_duplicates(docs(table), width=2).collect()
+    assert len(got) == len(table)
+    for k in range(2, 90):
+        assert {(r.component_id, r.kept) for r in got if r.doc_id == k} == {(min(want[k][1], 0 if want[k][1] == want[1][1] else k), want[k][2] and want[k][1] != want[1][1])}
+    assert texts_of[0] in {r.doc_id for r in got if r.kept}
+    null = [(r.component_id, r.kept) for r in got if r.doc_id is None]
+    assert sorted(null, key=str) == sorted([(None, False)] * 3 + [(0 if want[5][1] == want[1][1] else want[5][1], False)], key=str)
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(2)
     for share in (0.5, 0.8, 0.95):
