@@ -218,21 +218,58 @@ def _mixed(banded: DataFrame, labels: DataFrame) -> DataFrame:
     ).withColumn("n_rest", F.col("all") - F.col("n_main")).drop("all")
 
 
+class _Block:
+    """Members of one block pair of a band; side 0 meets side 1, or itself."""
+
+    def __init__(self, group: pd.DataFrame, percent: int, r: int):
+        group = group.drop_duplicates("rep")
+        left, self.band = group["side"].to_numpy() == 0, group["at"].iloc[0]
+        self.sides = [group, group] if left.all() else [group[left], group[~left]]
+        self.same, self.threshold, self.r = left.all(), percent / 100, r
+
+    def near(self):
+        """For each member of side 0, the members of side 1 it may be linked
+        with, most alike first. Pairs that share an earlier band are left to it."""
+        first, second = self.sides
+        if not len(first) or not len(second):
+            return
+        regs = [np.frombuffer(b"".join(g["sketch"]), np.uint16).reshape(len(g), -1) for g in self.sides]
+        cut = [x[:, :BANDS * ROWS].reshape(len(x), BANDS, ROWS) for x in regs]
+        size, part = ([g[c].to_numpy() for g in self.sides] for c in ("n_shingles", "component"))
+        for k in range(len(first)):
+            small, large = np.minimum(size[0][k], size[1]), np.maximum(size[0][k], size[1])
+            go = np.flatnonzero((part[0][k] != part[1]) & (small >= self.threshold * large))
+            if self.same:
+                go = go[go > k]
+            if not len(go):
+                continue
+            close = estimate(regs[0][k:k + 1], regs[1][go], self.r)
+            fit = close >= least_estimate(small[go], regs[1].shape[1], self.threshold)
+            go, close = go[fit], close[fit]
+            here = (cut[0][k] == cut[1][go]).all(2).argmax(1) == self.band
+            if here.any():
+                yield k, go[here][np.argsort(-close[here], kind="stable")]
+
+
+MEMBER = "band long, at int, x int, y int, side int, rep binary, component binary"
+
+
+def _near_members(group: pd.DataFrame, percent: int, r: int) -> pd.DataFrame:
+    """The members of a block pair that may be linked with another."""
+    block = _Block(group, percent, r)
+    found: tuple[set, set] = (set(), set())
+    for k, go in block.near():
+        found[0].add(k)
+        found[1].update(go.tolist())
+    sides = [g.iloc[sorted(at)] for g, at in zip(block.sides, found)]
+    return pd.concat(sides)[[c.split()[0] for c in MEMBER.split(", ")]]
+
+
 def _block_links(group: pd.DataFrame, percent: int, r: int) -> pd.DataFrame:
-    """Links of one block pair of a band that join something. A row of registers
-    meets all later ones at once; pairs met in an earlier band are left to it;
-    those that may be linked are decided by their full sets, unless links found
-    here have joined them already."""
-    threshold = percent / 100
-    group = group.drop_duplicates("rep")
-    left, band = group["side"].to_numpy() == 0, group["at"].iloc[0]
-    first, second = (group, group) if left.all() else (group[left], group[~left])
-    if not len(first) or not len(second):
-        return pd.DataFrame({"a": [], "b": []})
-    regs = [np.frombuffer(b"".join(g["sketch"]), np.uint16).reshape(len(g), -1) for g in (first, second)]
-    cut = [x[:, :BANDS * ROWS].reshape(len(x), BANDS, ROWS) for x in regs]
-    size, part = ([g[c].to_numpy() for g in (first, second)] for c in ("n_shingles", "component"))
-    rep, sets = ([g[c].tolist() for g in (first, second)] for c in ("rep", "shingles"))
+    """Links of a block pair that join something, decided by full sets, unless
+    links found here have joined the two already."""
+    block = _Block(group, percent, r)
+    part, rep, sets = ([g[c].tolist() for g in block.sides] for c in ("component", "rep", "shingles"))
     parent: dict[bytes, bytes] = {}
 
     def root(x):
@@ -241,20 +278,8 @@ def _block_links(group: pd.DataFrame, percent: int, r: int) -> pd.DataFrame:
         return x
 
     out = []
-    for k in range(len(first)):
-        small, large = np.minimum(size[0][k], size[1]), np.maximum(size[0][k], size[1])
-        go = np.flatnonzero((part[0][k] != part[1]) & (small >= threshold * large))
-        if first is second:
-            go = go[go > k]
-        if not len(go):
-            continue
-        near = estimate(regs[0][k:k + 1], regs[1][go], r)
-        fit = near >= least_estimate(small[go], regs[1].shape[1], threshold)
-        go, near = go[fit], near[fit]
-        shared = (cut[0][k] == cut[1][go]).all(2)
-        here = shared.argmax(1) == band
-        go, near = go[here], near[here]
-        for at in go[np.argsort(-near, kind="stable")]:
+    for k, go in block.near():
+        for at in go:
             x, y = root(part[0][k]), root(part[1][at])
             if x != y and linked(np.frombuffer(sets[0][k], np.uint64), np.frombuffer(sets[1][at], np.uint64), percent):
                 parent[x] = y
@@ -262,7 +287,9 @@ def _block_links(group: pd.DataFrame, percent: int, r: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def _compared(percent: int, r: int):
+def _each_block(step, percent: int, r: int):
+    """``step`` of every block pair; rows come sorted by it."""
+
     def run(batches):
         kept = None
         for pdf in batches:
@@ -270,10 +297,10 @@ def _compared(percent: int, r: int):
             keys = pdf[["band", "x", "y"]].to_numpy()
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             for lo, hi in zip(np.r_[0, cuts[:-1]], cuts):
-                yield _block_links(pdf.iloc[lo:hi], percent, r)
+                yield step(pdf.iloc[lo:hi], percent, r)
             kept = pdf.iloc[cuts[-1] if len(cuts) else 0:]  # the last group may go on
         if kept is not None and len(kept):
-            yield _block_links(kept, percent, r)
+            yield step(kept, percent, r)
 
     return run
 
@@ -284,7 +311,8 @@ def _across(mixed: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) ->
     Members outside the band's main component, in blocks by hash, meet all
     others block by block inside tasks; blocks are bounded, so a band of any
     size is spread over its block pairs. ``y`` counts main blocks from 0 and
-    other blocks down from -1; ``side`` 0 is block ``x``.
+    other blocks down from -1; ``side`` 0 is block ``x``. Sketches find the
+    members that may be linked; full sets travel for these alone.
     """
 
     def blocks(n: str) -> Column:
@@ -307,9 +335,13 @@ def _across(mixed: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) ->
             F.least(F.col("own"), j), -1 - F.greatest(F.col("own"), j), (F.col("own") > j).cast("int"))))
     main = F.transform(each("n_rest"), lambda i: at(i, F.col("own"), F.lit(1)))
     spread = checkpointed(placed.select("band", "at", "rep", "component", F.inline(F.when(inside, main).otherwise(rest))))
-    full = spread.join(reps.join(sets, reps["rep"] == sets["class"]).drop("class"), "rep")
-    blocked = full.repartition(partitions(mixed.sparkSession), "band", "x", "y").sortWithinPartitions("band", "x", "y")
-    return blocked.mapInPandas(_compared(percent, R), "a binary, b binary").distinct()
+    def blocked(rows: DataFrame) -> DataFrame:
+        dealt = rows.repartition(partitions(mixed.sparkSession), "band", "x", "y")
+        return dealt.sortWithinPartitions("band", "x", "y")
+
+    near = checkpointed(blocked(spread.join(reps, "rep")).mapInPandas(_each_block(_near_members, percent, R), MEMBER))
+    full = near.join(reps, "rep").join(sets.withColumnRenamed("class", "rep"), "rep")
+    return blocked(full).mapInPandas(_each_block(_block_links, percent, R), "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -336,7 +368,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     inside = checkpointed(banded.select(F.col("rep").alias("id")).distinct())
     reps = classes.select(F.col("class").alias("rep"), "n_shingles", "sketch").join(inside.toDF("rep"), "rep", "left_semi")
     # a text of every class; other texts of the same id come along and go again
-    ids = classes.join(inside.toDF("class"), "class", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
+    ids = checkpointed(
+        classes.join(inside.toDF("class"), "class", "left_semi").select(F.col("doc_id").alias("_id")).distinct())
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = checkpointed(
         shingle_sets(texts, width).join(inside.toDF("class"), "class", "left_semi").dropDuplicates(["class"]))
