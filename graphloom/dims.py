@@ -215,3 +215,15 @@ def inverted(groups: dict[str, list[str]]) -> dict[str, str]:
         for m in members:
             out.setdefault(m, group)
     return out
+
+# Globs that every scan ignores before the user's own rules.
+DEFAULT_IGNORES = [
+    "node_modules/", ".git/", "vendor/", "venv/", ".venv/", "__pycache__/",
+    "dist/", "build/", "out/", "coverage/", ".next/", ".cache/", ".turbo/", "target/", "obj/",
+    "*.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml",
+    "*.png", "*.jpg", "*.jpeg", "*.gif", "*.svg", "*.ico", "*.woff", "*.woff2", "*.ttf", "*.eot", "*.mp3", "*.mp4",
+    "*.pdf", "*.zip", "*.tar", "*.gz",
+    "*.min.js", "*.min.css", "*.map", "*.generated.*",
+    ".idea/", ".vscode/",
+    "LICENSE", ".gitignore", ".editorconfig", ".prettierrc", ".eslintrc*", "*.log",
+]

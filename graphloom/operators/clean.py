@@ -153,6 +153,63 @@ def validate_graph(raw_nodes: DataFrame, raw_edges: DataFrame, project: DataFram
     return Validated(good_nodes, good_edges, issues)
 
 
+@dataclass
+class Checked:
+    rows: DataFrame
+    members: DataFrame
+    issues: DataFrame
+
+
+def validate_listed(raw: DataFrame, nodes: DataFrame, collection: str, required: list[str]) -> Checked:
+    """Layers or tour steps with their lists of node ids (CL5, tier 3).
+
+    ``raw(seq, node_ids, ...)`` must hold every ``required`` field and a list of
+    ids without nulls; other rows are dropped with an issue. Ids that no valid
+    node has leave the list without one. ``rows`` are the valid rows without
+    their list, ``members(seq, pos, node_id)`` its remaining ids: ``pos`` is the
+    place in the given list, and a long list is spread, never held in one row.
+    """
+    c = F.col
+    whole = c("node_ids").isNotNull() & F.coalesce(F.forall("node_ids", lambda i: i.isNotNull()), F.lit(False))
+    lacking = F.array_compact(F.array(
+        *[F.when(c(f).isNull(), F.lit(f)) for f in required], F.when(~whole, F.lit("nodeIds"))))
+    checked = raw.withColumn("_lack", lacking)
+    good = checked.filter(F.size("_lack") == 0)
+    listed = good.select("seq", F.posexplode("node_ids").alias("pos", "node_id"))
+    known = nodes.select(c("id").alias("node_id")).distinct()
+    issues = checked.filter(F.size("_lack") > 0).select(
+        F.lit(collection).alias("collection"), "seq", F.lit("dropped").alias("level"),
+        F.lit("invalid-layer" if collection == "layers" else "invalid-tour-step").alias("category"),
+        F.get("_lack", F.lit(0)).alias("field"))
+    return Checked(good.drop("_lack", "node_ids"), listed.join(known, "node_id", "left_semi").select("seq", "pos", "node_id"), issues)
+
+
+def validate_layers(layers: DataFrame, nodes: DataFrame) -> Checked:
+    return validate_listed(layers, nodes, "layers", ["id", "name", "description"])
+
+
+def validate_tour(tour: DataFrame, nodes: DataFrame) -> Checked:
+    return validate_listed(tour, nodes, "tour", ["step_order", "title", "description"])
+
+
+def described(issues: DataFrame) -> DataFrame:
+    """Issues with the ``path`` of what they are about and a ``message`` (CL5)."""
+    c = F.col
+    row = F.concat("collection", F.lit("["), c("seq").cast("string"), F.lit("]"))
+    lost = F.when(c("category") == "invalid-reference", F.concat(row, F.lit(": "), "field", F.lit(" does not exist in nodes"))).when(
+        c("field") != "", F.concat(row, F.lit(": "), "field", F.lit(" is missing or invalid"))).otherwise(
+        F.concat(row, F.lit(": missing or invalid fields")))
+    # a reference names its field in the path; a row that is dropped whole does not
+    inside = (c("field") != "") & ((c("level") != "dropped") | (c("category") == "invalid-reference"))
+    return issues.withColumns({
+        "path": F.when(c("level") == "fatal", F.lit("")).when(inside, F.concat(row, F.lit("."), "field")).otherwise(row),
+        "message": F.when(c("category") == "no-valid-nodes", F.lit("No valid nodes found in knowledge graph"))
+        .when(c("level") == "fatal", F.lit("Missing or invalid project metadata"))
+        .when(c("level") == "dropped", F.concat(lost, F.lit(" — removed")))
+        .otherwise(F.concat(row, F.lit("."), "field", F.lit(": "), "category", F.lit(", set right"))),
+    })
+
+
 # File-level node types and the edges some types are expected to have.
 FILE_LEVEL = ["file", "config", "document", "service", "pipeline", "table", "schema", "resource", "endpoint"]
 EXPECTED_EDGES = {

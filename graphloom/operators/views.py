@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom import dims
+from graphloom.functions import globs
 from graphloom.functions.columns import lookup
 
 SUB_FILE_TYPES = ["function", "class"]
@@ -172,6 +173,16 @@ def ignore_filter(files: DataFrame, rules: list[tuple[str, bool, bool]]) -> Data
     )
 
 
+def ignore_globs(files: DataFrame, rules: list[str], defaults: list[str] = dims.DEFAULT_IGNORES) -> DataFrame:
+    """Ignore files by globs as they stand in ignore files (FP11): the defaults,
+    then ``rules`` (lines of all the user's files, in order), last match wins.
+    Adds ``ignored`` and ``ignored_by_default``; a null path is not ignored."""
+    first = globs.parsed(defaults)
+    path = F.coalesce("path", F.lit(""))
+    return files.withColumn("ignored", globs.ignored(path, first + globs.parsed(rules))).withColumn(
+        "ignored_by_default", globs.ignored(path, first))
+
+
 def export_view(
     nodes: DataFrame, edges: DataFrame, layer_members: DataFrame, types: list[str], complexities: list[str],
     layers: list[str], categories: list[str], technical: bool,

@@ -88,6 +88,58 @@ def _(get):
     return _validated(get).issues.select("collection", "level", "category", "field", "seq")
 
 
+# Layers and tour steps with lists of ids, some of them broken or naming unknown nodes.
+VIEWS["v_listed_layers"] = """
+SELECT CAST(seq AS BIGINT) AS seq, layer_id AS id, CASE WHEN seq % 5 = 3 THEN NULL ELSE layer_id END AS name,
+       CASE WHEN seq % 6 = 5 THEN NULL ELSE 'about ' || layer_id END AS description,
+       CASE WHEN seq % 7 = 4 THEN NULL ELSE node_ids END AS node_ids
+FROM (SELECT layer_id, row_number() OVER (ORDER BY layer_id) - 1 AS seq, array_sort(array_agg(node_id)) AS node_ids
+      FROM v_layer_members GROUP BY layer_id) t"""
+VIEWS["v_listed_tour"] = """
+SELECT CAST(seq AS BIGINT) AS seq, CASE WHEN seq % 4 = 2 THEN NULL ELSE step_order END AS step_order,
+       CASE WHEN seq % 9 = 7 THEN NULL ELSE title END AS title, 'step ' || title AS description, node_ids
+FROM (SELECT step_order, title, row_number() OVER (ORDER BY step_order, title) - 1 AS seq, array_sort(array_agg(node_id)) AS node_ids
+      FROM v_tour_members GROUP BY step_order, title) t"""
+
+O_LIST = f"""{O_CL}, o_ids AS (SELECT DISTINCT id FROM o_nok WHERE ok),
+o_ll AS (SELECT seq, node_ids, CASE WHEN name IS NULL THEN 'name' WHEN description IS NULL THEN 'description' WHEN node_ids IS NULL THEN 'nodeIds' END AS lack FROM v_listed_layers),
+o_lt AS (SELECT seq, node_ids, CASE WHEN step_order IS NULL THEN 'step_order' WHEN title IS NULL THEN 'title' END AS lack FROM v_listed_tour),
+o_lm AS (SELECT 'layers' AS collection, seq, unnest(node_ids) AS node_id, unnest(range(len(node_ids))) AS pos FROM o_ll WHERE lack IS NULL
+  UNION ALL SELECT 'tour', seq, unnest(node_ids), unnest(range(len(node_ids))) FROM o_lt WHERE lack IS NULL)"""
+
+
+def _listed(get):
+    nodes = _validated(get).nodes
+    tour = get("v_listed_tour")
+    return clean.validate_layers(get("v_listed_layers"), nodes), clean.validate_tour(tour, nodes)
+
+
+@query("cl5_listed_members", f"WITH {O_LIST} SELECT collection, seq, pos, node_id FROM o_lm WHERE node_id IN (SELECT id FROM o_ids)")
+def _(get):
+    layers, tour = _listed(get)
+    return layers.members.withColumn("collection", F.lit("layers")).unionByName(
+        tour.members.withColumn("collection", F.lit("tour"))).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(
+    "cl5_described_issues",
+    f"""WITH {O_LIST}, o_all AS (SELECT collection, level, category, field, seq FROM o_iss
+      UNION ALL SELECT 'layers', 'dropped', 'invalid-layer', lack, seq FROM o_ll WHERE lack IS NOT NULL
+      UNION ALL SELECT 'tour', 'dropped', 'invalid-tour-step', lack, seq FROM o_lt WHERE lack IS NOT NULL),
+    o_row AS (SELECT *, collection || '[' || seq || ']' AS r FROM o_all)
+    SELECT level, category, CASE WHEN level = 'fatal' THEN '' WHEN field <> '' AND (level <> 'dropped' OR category = 'invalid-reference') THEN r || '.' || field ELSE r END AS path,
+      CASE WHEN category = 'no-valid-nodes' THEN 'No valid nodes found in knowledge graph' WHEN level = 'fatal' THEN 'Missing or invalid project metadata'
+           WHEN category = 'invalid-reference' THEN r || ': ' || field || ' does not exist in nodes — removed'
+           WHEN level = 'dropped' AND field <> '' THEN r || ': ' || field || ' is missing or invalid — removed'
+           WHEN level = 'dropped' THEN r || ': missing or invalid fields — removed'
+           ELSE r || '.' || field || ': ' || category || ', set right' END AS message FROM o_row""",
+)
+def _(get):
+    layers, tour = _listed(get)
+    every = _validated(get).issues.unionByName(layers.issues).unionByName(tour.issues)
+    return clean.described(every).select("level", "category", "path", "message")
+
+
 @query(
     "ga29_issue_counts",
     f"WITH {O_CL} SELECT level, category, count(*) AS n, CASE level WHEN 'fatal' THEN 0 WHEN 'dropped' THEN 1 ELSE 2 END AS rank FROM o_iss GROUP BY ALL",

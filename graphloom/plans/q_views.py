@@ -178,6 +178,24 @@ def _(get):
     )
 
 
+@query(
+    "fp11_ignore_globs",
+    """WITH o_p AS (SELECT path, seq, string_split(path, '/') AS w FROM v_files),
+    o_all AS (SELECT path, seq, p FROM (SELECT path, seq, unnest(list_append(list_transform(range(1, len(w)), lambda k: array_to_string(w[1:k], '/') || '/'), path)) AS p FROM o_p)),
+    o_v AS (SELECT path, seq, CASE
+      WHEN regexp_matches(p, '^promo/([^/]*/)*brand-1[0-4]/$') THEN true
+      WHEN regexp_matches(p, '(^|/)p[0-9]*7[.]md$') THEN false
+      WHEN regexp_matches(p, '[.]md$') THEN true
+      WHEN regexp_matches(p, '^shared/m1[^0-9/]?/$') THEN false
+      WHEN regexp_matches(p, '^shared/m[0-9]/$') OR regexp_matches(p, '^large/[^/]*/p[^/]?[.]ts$') THEN true
+      ELSE false END AS hit FROM o_all)
+    SELECT path, seq, bool_or(hit) AS ignored FROM o_v GROUP BY ALL""",
+)
+def _(get):
+    rules = ["# generated", "", "/shared/m[0-9]/", "large/*/p?.ts", "!shared/m1/", "*.md  ", "!p*7.md", "promo/**/brand-1[!5-9]/"]
+    return views.ignore_globs(get("v_files"), rules).select("path", "seq", "ignored")
+
+
 @query(
     "fp12_export_edges",
     """WITH o_vis AS (SELECT id FROM v_nodes WHERE type IN ('file','document','step') AND complexity IN ('simple','moderate','complex'))

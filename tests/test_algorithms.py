@@ -358,3 +358,22 @@ def test_legacy_hashes_of_a_batch():
             h, g = (h ^ u) * 0x100000001B3 % 2**64, (g * 33 + u) % 2**32
         assert (f, d) == (h, g)
     assert hashing.fnv1a64_of(pd.Series([], dtype=object)).tolist() == [] == hashing.djb2_of(pd.Series([], dtype=object)).tolist()
+
+
+def test_layers_and_tour_steps_are_checked(spark):
+    from graphloom.operators import clean
+
+    nodes = ids(spark, ["a", "b", "b"])
+    layers = spark.createDataFrame(
+        [(0, "l0", "n", "d", ["b", "x", "a", "b"]), (1, "l1", None, "d", ["a"]), (2, "l2", "n", "d", None), (3, "l3", "n", "d", ["a", None]),
+         (4, "l4", "n", "d", []), (5, None, None, "d", None)], "seq long, id string, name string, description string, node_ids array<string>")
+    got = clean.validate_layers(layers, nodes)
+    assert {r.id for r in got.rows.collect()} == {"l0", "l4"}
+    assert sorted(map(tuple, got.members.collect())) == [(0, 0, "b"), (0, 2, "a"), (0, 3, "b")]
+    said = sorted((r.path, r.message) for r in clean.described(got.issues).collect())
+    assert said == [("layers[1]", "layers[1]: name is missing or invalid — removed"), ("layers[2]", "layers[2]: nodeIds is missing or invalid — removed"),
+                    ("layers[3]", "layers[3]: nodeIds is missing or invalid — removed"), ("layers[5]", "layers[5]: id is missing or invalid — removed")]
+    tour = spark.createDataFrame([(0, None, "t", "d", ["a"]), (1, 1, "t", "d", ["gone"])], "seq long, step_order int, title string, description string, node_ids array<string>")
+    got = clean.validate_tour(tour, nodes)
+    assert [r.seq for r in got.rows.collect()] == [1] and got.members.collect() == []
+    assert [(r.category, r.field) for r in got.issues.collect()] == [("invalid-tour-step", "step_order")]
