@@ -31,9 +31,10 @@ def _(get):
     return joins.all_layers(get("v_layer_members"))
 
 
-O_JN5 = """o_seed AS (SELECT id FROM v_nodes WHERE summary LIKE '%red ring%'),
- o_ids AS (SELECT id FROM o_seed UNION SELECT target FROM v_edges WHERE source IN (SELECT id FROM o_seed)
-   UNION SELECT source FROM v_edges WHERE target IN (SELECT id FROM o_seed))"""
+O_JN5 = """o_e AS MATERIALIZED (SELECT source, target, type, seq FROM v_edges),
+ o_seed AS MATERIALIZED (SELECT DISTINCT id FROM v_nodes WHERE summary LIKE '%red ring%'),
+ o_ids AS MATERIALIZED (SELECT id FROM o_seed UNION SELECT target FROM o_e JOIN o_seed ON source = id
+   UNION SELECT source FROM o_e JOIN o_seed ON target = id)"""
 
 
 def _ctx(get):
@@ -48,7 +49,7 @@ def _(get):
 
 @query(
     "jn5_context_edges",
-    f"WITH {O_JN5} SELECT source, target, type, seq FROM v_edges WHERE source IN (SELECT id FROM o_ids) AND target IN (SELECT id FROM o_ids)",
+    f"WITH {O_JN5} SELECT source, target, type, seq FROM o_e JOIN o_ids s ON source = s.id JOIN o_ids t ON target = t.id",
 )
 def _(get):
     return _ctx(get)[1].select("source", "target", "type", "seq")
@@ -61,9 +62,10 @@ def _(get):
 
 VIEWS["v_changed"] = """SELECT path FROM v_files WHERE language = 'sql' AND size_lines > 450
  UNION ALL SELECT 'new/' || n_name || '.ts' FROM nation"""
-O_JN6 = """o_d AS (SELECT id FROM v_nodes WHERE file_path IN (SELECT path FROM v_changed)),
- o_ch AS (SELECT id FROM o_d UNION SELECT target FROM v_edges WHERE type = 'contains' AND source IN (SELECT id FROM o_d)),
- o_imp AS (SELECT *, source IN (SELECT id FROM o_ch) AS s, target IN (SELECT id FROM o_ch) AS t FROM v_edges),
+O_JN6 = """o_e AS MATERIALIZED (SELECT source, target, type, seq FROM v_edges),
+ o_d AS MATERIALIZED (SELECT DISTINCT id FROM v_nodes WHERE file_path IN (SELECT path FROM v_changed)),
+ o_ch AS MATERIALIZED (SELECT id FROM o_d UNION SELECT target FROM o_e JOIN o_d ON source = id WHERE type = 'contains'),
+ o_imp AS MATERIALIZED (SELECT o_e.*, a.id IS NOT NULL AS s, b.id IS NOT NULL AS t FROM o_e LEFT JOIN o_ch a ON source = a.id LEFT JOIN o_ch b ON target = b.id),
  o_aff AS (SELECT target AS id FROM o_imp WHERE s AND NOT t UNION SELECT source FROM o_imp WHERE t AND NOT s),
  o_un AS (SELECT path FROM v_changed WHERE path NOT IN (SELECT file_path FROM v_nodes WHERE file_path IS NOT NULL)),
  o_ly AS (SELECT DISTINCT layer_id FROM v_layer_members WHERE node_id IN (SELECT id FROM o_ch UNION ALL SELECT id FROM o_aff))"""

@@ -35,9 +35,10 @@ def _(get):
     return views.filter_edges(get("v_edges"), _visible(get).select("id"), _CATS).select("source", "target", "type", "seq")
 
 
-O_FP3 = """o_m AS (SELECT DISTINCT node_id AS id FROM v_layer_members WHERE layer_id = 'layer:promo'),
- o_s AS (SELECT * FROM v_nodes WHERE id IN (SELECT id FROM o_m) OR (type IN ('class','function') AND id IN
-   (SELECT target FROM v_edges WHERE type = 'contains' AND source IN (SELECT id FROM o_m))))"""
+O_FP3 = """o_e AS MATERIALIZED (SELECT source, target, type, seq FROM v_edges),
+ o_m AS MATERIALIZED (SELECT DISTINCT node_id AS id FROM v_layer_members WHERE layer_id = 'layer:promo'),
+ o_in AS MATERIALIZED (SELECT DISTINCT target AS id FROM o_e JOIN o_m ON source = o_m.id WHERE type = 'contains'),
+ o_s AS MATERIALIZED (SELECT id, type, name FROM v_nodes WHERE id IN (SELECT id FROM o_m) OR (type IN ('class','function') AND id IN (SELECT id FROM o_in)))"""
 
 
 @query("fp3_layer_detail_nodes", f"WITH {O_FP3} SELECT id, type, name FROM o_s")
@@ -48,7 +49,8 @@ def _(get):
 
 @query(
     "fp3_layer_detail_edges",
-    f"WITH {O_FP3} SELECT source, target, type, seq FROM v_edges WHERE source IN (SELECT id FROM o_s) AND target IN (SELECT id FROM o_s)",
+    f"""WITH {O_FP3}, o_i AS MATERIALIZED (SELECT DISTINCT id FROM o_s)
+    SELECT source, target, type, seq FROM o_e JOIN o_i s ON source = s.id JOIN o_i t ON target = t.id""",
 )
 def _(get):
     _, e = views.layer_detail(get("v_nodes"), get("v_edges"), get("v_layer_members"), "layer:promo")
