@@ -8,8 +8,8 @@ registers give a first Jaccard estimate, corrected for chance collisions; full
 shingle sets decide.
 
 Documents of equal shingle sets are one class, named by the digest of the set.
-In a few rounds every class is compared with one pivot, the best of its bands,
-which joins most of a group; then classes of different components are compared
+First every class is compared with one pivot, the best of its bands, which
+joins most of a group; then classes of different components are compared
 inside tasks, so no link that joins two components is lost. Only links become
 rows, and of those only as many as join something.
 """
@@ -35,7 +35,7 @@ DEVIATIONS = 5
 #: Members of one band that are compared in one task at a time.
 BLOCK = 512
 #: Rounds of comparing each class with one pivot.
-ROUNDS = 3
+ROUNDS = 1
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 CACHE = 500_000
 
@@ -103,7 +103,7 @@ def estimate(a: np.ndarray, b: np.ndarray, r: int = R) -> np.ndarray:
     two different minima have equal zero counts with chance 1/3 and then equal
     mantissas with chance 2^-r."""
     chance = 2.0 ** -r / 3
-    return ((a == b).mean(1) - chance) / (1 - chance)
+    return (np.count_nonzero(a == b, axis=1) / b.shape[1] - chance) / (1 - chance)
 
 
 SKETCH = "n_shingles long, class binary, sketch binary"
@@ -370,7 +370,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # a text of every class; other texts of the same id come along and go again
     ids = checkpointed(
         classes.join(inside.toDF("class"), "class", "left_semi").select(F.col("doc_id").alias("_id")).distinct())
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    texts = checkpointed(  # stored, so that no other text is cut into shingles again
+        docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text"))
     sets = checkpointed(
         shingle_sets(texts, width).join(inside.toDF("class"), "class", "left_semi").dropDuplicates(["class"]))
     labels, links = inside.select(F.col("id").alias("rep"), F.col("id").alias("component")), None
