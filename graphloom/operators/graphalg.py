@@ -131,34 +131,66 @@ def component_report(labels: DataFrame, min_size: int = 2, k: int = 12) -> DataF
     return sizes.orderBy(F.col("n").desc(), "component").limit(k)
 
 
+#: Longer than any path; keeps the lengths that run around a cycle from overflowing.
+_FAR = 1 << 40
+
+
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(id, level)``; nodes in or behind cycles get a null level (GR5)."""
-    ids = nodes.select("id")
+    """``(id, level)``; nodes in or behind cycles get a null level (GR5).
+
+    A level is the longest way from a root. A node with a single predecessor
+    hangs at a fixed distance from it, so such chains are shortened by pointer
+    jumping (eightfold a round) and their edges lead on from the chain's head.
+    The root is the null source: a node whose only edge comes from there is
+    settled and its own edges lead on from the root, so every round also settles
+    at least one whole level. Edges that coincide become one, the longest.
+    """
+    ids = nodes.select("id").distinct()
     inner = (
-        edges.select("source", "target").distinct()
-        .join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
-        .join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+        edges.select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct()
+        .join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+        .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    )
+    ids, inner = checkpointed(ids), checkpointed(inner.select("src", "dst"))
+    roots = ids.join(inner.select(F.col("dst").alias("id")), "id", "left_anti")
+    links = checkpointed(
+        inner.withColumn("w", F.lit(1).cast("long"))
+        .unionByName(roots.select(F.lit(None).cast(inner.schema["src"].dataType).alias("src"), F.col("id").alias("dst"),
+                                  F.lit(0).cast("long").alias("w")))
     )
-    rest_nodes, rest_edges = checkpointed(ids), checkpointed(inner.select("source", "target"))
     done = None
-    level = 0
     while True:
-        blocked = rest_edges.select(F.col("target").alias("id")).distinct()
-        marked = checkpointed(
-            rest_nodes.join(blocked.withColumn("_b", F.lit(True)), "id", "left").select("id", F.col("_b").isNull().alias("ready"))
+        hung = checkpointed(
+            links.groupBy(F.col("dst").alias("node")).agg(
+                F.count("*").alias("n"), F.min("src").alias("up"), F.max("w").alias("dist"))
+            .filter("n = 1").select("node", "up", "dist")
         )
-        ready = marked.filter("ready").select("id")
-        if ready.isEmpty():
+        if hung.filter("up IS NULL").isEmpty():
             break
-        levelled = ready.select("id", F.lit(level).alias("level"))
-        done = levelled if done is None else done.union(levelled)
-        rest_nodes = marked.filter("NOT ready").select("id")
-        rest_edges = checkpointed(rest_edges.join(ready.withColumnRenamed("id", "source"), "source", "left_anti"))
-        level += 1
-    left = rest_nodes.select("id", F.lit(None).cast("int").alias("level"))
+        for _ in range(3):
+            hung = _led_on(hung, "up", "dist", hung)
+        hung = checkpointed(hung)
+        settled = hung.filter("up IS NULL").select(F.col("node").alias("id"), F.col("dist").cast("int").alias("level"))
+        done = settled if done is None else done.union(settled)
+        rest = links.join(settled.select(F.col("id").alias("dst")), "dst", "left_anti")
+        # a chain may now hang on a node that has just been settled
+        rest = _led_on(_led_on(rest, "src", "w", hung), "src", "w", hung.filter("up IS NULL"))
+        links = checkpointed(rest.groupBy("src", "dst").agg(F.max("w").alias("w")))
+    left = links.select(F.col("dst").alias("id")).distinct().withColumn("level", F.lit(None).cast("int"))
     return left if done is None else done.union(left)
 
 
+def _led_on(rows: DataFrame, start: str, length: str, hung: DataFrame) -> DataFrame:
+    """Rows whose ``start`` hangs on another node start there, that much longer."""
+    onward = hung.select(F.col("node").alias(start), F.col("up").alias("_up"), F.col("dist").alias("_dist"),
+                         F.lit(True).alias("_here"))
+    joined = rows.join(onward, start, "left")
+    return joined.withColumns({
+        start: F.when(F.col("_here"), F.col("_up")).otherwise(F.col(start)),
+        length: F.least(F.col(length) + F.coalesce("_dist", F.lit(0)), F.lit(_FAR)),
+    }).select(*rows.columns)
+
+
 def simple_undirected(edges: DataFrame) -> DataFrame:
     """``(src, dst, w)`` in both directions, one row per pair, no self loops."""
     lo, hi = F.least("source", "target"), F.greatest("source", "target")

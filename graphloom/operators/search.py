@@ -204,8 +204,8 @@ def fuzzy(
 
     Per query token and field the distance is edit distance over length, or 0
     for containment. Distinct field tokens are compared once, however many rows
-    carry them, and only tokens whose length differs by at most the threshold
-    are compared, through an equi-join on length.
+    carry them, and only tokens that share a piece with the query token
+    (:func:`_pieces`), through an equi-join.
     """
     fields = F.array(
         *[
@@ -216,17 +216,15 @@ def fuzzy(
     doc_tokens = docs.select("id", F.inline(fields)).select(
         "id", "field", F.explode(F.array_distinct(text.tokens(F.col("value")))).alias("token")
     )
-    vocabulary = doc_tokens.select("token").distinct().withColumn("n", F.length("token"))
+    vocabulary = doc_tokens.select("token").distinct()
     asked = queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("q")).distinct()
     words = asked.select("q").distinct().withColumn("m", F.length("q"))
-    # a token within the threshold has a length in this window
-    window = F.sequence(
-        F.ceil(F.col("m") * (1 - threshold)).cast("int"), F.floor(F.col("m") / (1 - threshold)).cast("int")
-    )
+    pieces = vocabulary.select("token", F.explode(_pieces(F.col("token"), threshold)).alias("piece"))
     close = (
-        words.withColumn("n", F.explode(window)).join(vocabulary, "n")
-        .withColumn("d", F.levenshtein("q", "token") / F.greatest("m", "n"))
-        .filter(F.col("d") <= threshold).select("q", "token", "d")
+        words.select("q", F.explode(_sought(F.col("q"), threshold)).alias("piece")).join(pieces, "piece")
+        .select("q", "token").distinct()
+        .select("q", "token", (F.levenshtein("q", "token") / F.greatest(F.length("q"), F.length("token"))).alias("d"))
+        .filter(F.col("d") <= threshold)
     )
     # the distinct lengths of query words: a handful of small numbers
     lengths = sorted(r["m"] for r in words.filter("m >= 3").select("m").distinct().toLocalIterator())
@@ -248,6 +246,67 @@ def fuzzy(
     return top_k(hits, ["query_id"], [F.round("score", 9), F.col("id")], k)
 
 
+def _edits(length: Column, threshold: float) -> Column:
+    """Edits that two tokens may be apart whose longer one has this length."""
+    return F.floor(length * threshold + 1e-9).cast("int")
+
+
+def _cut(n: Column, edits: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 0) and end of piece ``i`` of a token of length ``n``, cut into
+    one piece more than there may be edits."""
+    at = lambda j: F.floor(j * n / (edits + 1)).cast("int")
+    return at(i), at(i + 1)
+
+
+def _pieces(token: Column, threshold: float) -> Column:
+    """Keys of a stored token: its length, the number of edits, the number of a
+    piece and the piece.
+
+    A token cut into ``k + 1`` pieces keeps at least one of them through ``k``
+    edits. ``k`` follows from the longer token, so each number of edits that a
+    query token within the threshold may ask for has its own cut.
+    """
+    n = F.length(token)
+    most = _edits(F.floor(n / (1 - threshold) + 1e-9), threshold)
+
+    def cut(k: Column) -> Column:
+        def key(i: Column) -> Column:
+            start, end = _cut(n, k, i)
+            return F.struct(n.alias("n"), k.alias("k"), i.alias("i"), F.substring(token, start + 1, end - start).alias("s"))
+
+        return F.transform(F.sequence(F.lit(0), k), key)
+
+    keys = F.flatten(F.transform(F.sequence(_edits(n, threshold), most), cut))
+    return F.when(n > 0, keys).otherwise(F.array().cast(_KEYS))
+
+
+_KEYS = "array<struct<n:int,k:int,i:int,s:string>>"
+
+
+def _sought(word: Column, threshold: float) -> Column:
+    """Keys under which a query token finds every stored token within the
+    threshold: a kept piece has moved by ``d`` places, which takes ``abs(d)``
+    edits before it and as many after it as the lengths then still differ."""
+    m = F.length(word)
+    lengths = F.sequence(F.ceil(m * (1 - threshold) - 1e-9).cast("int"), F.floor(m / (1 - threshold) + 1e-9).cast("int"))
+
+    def of_length(n: Column) -> Column:
+        k = _edits(F.greatest(m, n), threshold)
+
+        def of_piece(i: Column) -> Column:
+            start, end = _cut(n, k, i)
+            first = F.greatest(F.lit(0), start - F.floor((k - m + n) / 2).cast("int"))
+            last = F.least(m - end + start, start + F.floor((k + m - n) / 2).cast("int"))
+            places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda at: F.struct(
+                n.alias("n"), k.alias("k"), i.alias("i"), F.substring(word, at + 1, end - start).alias("s")))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), k), of_piece))
+
+    keys = F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+    return F.when(m > 0, keys).otherwise(F.array().cast(_KEYS))
+
+
 def _substrings(token: Column, lengths: list[int]) -> Column:
     """Distinct substrings of a token with one of the given lengths."""
 
