@@ -3,7 +3,8 @@
 Every source is cut into blocks, hash buckets of its documents. The quota of a
 source is the number of block copies the mix takes from it: all blocks in each
 full pass, and in the last pass blocks in a permuted order until the target is
-reached; the block at the target is taken in part, document by document. A tree
+reached; of the block at the target those whole documents that fit, so that no
+text is ever cut. A tree
 halves the output shards again and again and draws, from the multivariate
 hypergeometric distribution, how many block copies of each source go left. A
 leaf is a shard with exact quotas; it takes the next block copies of each
@@ -24,7 +25,8 @@ from graphloom.session import checkpointed
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-SHARDS = 16
+#: The mix is split into shards of about so many words.
+SHARD_WORDS = 1 << 25
 BLOCK_WORDS = 1 << 16
 #: A source has at most so many blocks; they grow beyond that.
 MAX_BLOCKS = 1 << 16
@@ -130,13 +132,15 @@ def split_quotas(quotas: DataFrame, shards: int) -> DataFrame:
     return nodes.select(F.col("first").alias("shard"), F.inline("q"))
 
 
-def draws(sizes: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, weights=WEIGHTS,
+def draws(sizes: DataFrame, shards: int | None = None, block_words: int = BLOCK_WORDS, weights=WEIGHTS,
           repeats: int = REPEATS) -> tuple[DataFrame, DataFrame]:
     """The rows with their source's figures, and what the mix takes of them:
     ``row, shard, pass, block, words, position``, one row per copy.
 
-    ``sizes`` holds ``row`` (unique), ``doc_id``, ``source``, ``size``. Documents
-    without words are taken with no words; sources without words have target 0.
+    ``sizes`` holds ``row`` (unique), ``doc_id``, ``mark`` (a hash of the text),
+    ``source``, ``size``. Documents without words are taken with no words;
+    sources without words have target 0. Only rows alike in all of these may
+    change places between runs.
     """
     plan = checkpointed(targets(sizes, weights, repeats))
     whole_passes = F.when(F.col("source_size") > 0, F.floor(F.col("take") / F.col("source_size"))).otherwise(0)
@@ -145,11 +149,14 @@ def draws(sizes: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS
         .withColumn("rest", F.col("take") - F.col("passes") * F.col("source_size"))
         .withColumn("n_blocks", F.least(F.lit(MAX_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words))))
     )
+    if shards is None:
+        everything = plan.agg(F.sum("take")).first()[0] or 0
+        shards = max(1, math.ceil(everything / SHARD_WORDS))
     block = F.pmod(shuffled("block", F.col("doc_id")), F.col("n_blocks")).cast("int")
     rows = checkpointed(
         sizes.withColumnRenamed("source", "_source")
         .join(plan, F.col("_source").eqNullSafe(F.col("source")))
-        .select("row", "doc_id", "size", "sid", "source_size", "target", block.alias("block"))
+        .select("row", "doc_id", "mark", "size", "sid", "source_size", "target", block.alias("block"))
     )
     blocks = rows.groupBy("sid", "block").agg(F.sum("size").alias("words")).join(
         plan.select("sid", "passes", "rest"), "sid")
@@ -166,56 +173,79 @@ def draws(sizes: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS
         shuffled("copy", F.col("sid"), F.col("block"), F.col("pass")), "block", "pass"))
     copies = checkpointed(full.unionByName(last).withColumn("rank", rank))
     quotas = copies.groupBy("sid").agg(F.count("*").alias("n"))
-    ends = F.sum("n").over(Window.partitionBy("sid").orderBy("shard"))
-    leaves = (
-        split_quotas(quotas, shards).withColumn("end", ends)
-        .groupBy("sid").agg(F.sort_array(F.collect_list("end")).alias("ends"))
-    )
-    placed = copies.join(leaves, "sid").select(
-        "sid", "block", "pass", "limit", F.size(F.filter("ends", lambda e: e < F.col("rank"))).alias("shard"))
-    taken = rows.select("row", "doc_id", "size", "sid", "block").join(placed, ["sid", "block"])
-    inside = Window.partitionBy("sid").orderBy(shuffled("cut", F.col("doc_id")), "doc_id", "row")
-    cut = (
-        taken.filter(F.col("limit").isNotNull())
-        .withColumn("words", F.greatest(F.lit(0), F.least("size", F.col("limit") - F.sum("size").over(inside) + F.col("size"))))
-        .filter("words > 0")
-    )
-    parts = [taken.filter(F.col("limit").isNull()).withColumn("words", F.col("size")), cut]
+    # a leaf takes the next copies of each source's order: one row per place
+    end = F.sum("n").over(Window.partitionBy("sid").orderBy("shard"))
+    places = split_quotas(quotas, shards).withColumn("end", end).filter("n > 0").select(
+        "sid", "shard", F.explode(F.sequence(F.col("end") - F.col("n") + 1, F.col("end"))).alias("rank"))
+    placed = copies.join(places, ["sid", "rank"]).select("sid", "block", "pass", "limit", "shard")
+    taken = rows.select("row", "doc_id", "mark", "size", "sid", "block").join(placed, ["sid", "block"])
+    parts = [taken.filter(F.col("limit").isNull()), _fitting(taken.filter("limit IS NOT NULL AND size > 0"))]
     out = reduce(DataFrame.unionByName, parts).select(
-        "row", "shard", "pass", "block", "words",
-        shuffled("position", F.col("shard"), F.col("pass"), F.col("row"), F.col("doc_id")).alias("position"))
+        "row", "shard", "pass", "block", F.col("size").alias("words"),
+        shuffled("position", F.col("shard"), F.col("pass"), F.col("doc_id"), F.col("mark")).alias("position"))
     return rows, out
 
 
+def _fitting(cut: DataFrame, rounds: int = 3) -> DataFrame:
+    """The whole documents of each source's block at the target (``limit`` words
+    of it are wanted) that are taken.
+
+    In an order by hash, each round takes documents while they fit into what is
+    missing, leaving out those that are larger by themselves. At the end the
+    smallest document left comes too, if that brings the source nearer.
+    """
+    order = [shuffled("cut", F.col("doc_id")), F.col("doc_id"), F.col("mark"), F.col("row")]
+    source, onward = Window.partitionBy("sid"), Window.partitionBy("sid").orderBy(*order)
+    cut = cut.withColumn("in", F.lit(False))
+
+    def missing() -> Column:
+        return F.col("limit") - F.sum(F.when(F.col("in"), F.col("size")).otherwise(0)).over(source)
+
+    for _ in range(rounds):
+        cut = cut.withColumn("missing", missing())
+        fits = ~F.col("in") & (F.col("size") <= F.col("missing"))
+        so_far = F.sum(F.when(fits, F.col("size")).otherwise(0)).over(onward)
+        cut = cut.withColumn("in", F.col("in") | (fits & (so_far <= F.col("missing"))))
+    least = F.min(F.when(~F.col("in"), F.struct("size", *[o.alias(f"k{i}") for i, o in enumerate(order)]))).over(source)
+    return (
+        cut.withColumn("missing", missing()).withColumn("least", least)
+        .filter(F.col("in") | ((F.col("row") == F.col("least.k3")) & (2 * F.col("missing") > F.col("size"))))
+        .drop("in", "missing", "least")
+    )
+
+
+def _marked(docs: DataFrame, row: str | Column) -> DataFrame:
+    return docs.select(row, "doc_id", F.xxhash64("text").alias("mark"), "source", n_words("text").alias("size"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, source, size`` of every row, stored, so that ``row`` holds."""
-    return checkpointed(docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "source", n_words("text").alias("size")))
+    """``row, doc_id, mark, source, size`` of every row, stored, so that ``row`` holds."""
+    return checkpointed(_marked(docs, F.monotonically_increasing_id().alias("row")))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every row. Repeated rows
-    are documents of their own; a null text has size 0; a null source is one."""
+    """``doc_id, size, source_size, target, taken, copies`` of every row.
+
+    ``copies`` are the places of the row in the mix, an array of ``shard,
+    position, words`` with at most ``repeats`` entries, and ``taken`` is their
+    sum. Repeated rows are documents of their own, equal ones with one position
+    in a shard; a null text has size 0; a
+    null source is one.
+    """
     rows, out = draws(sized(docs), **options)
+    copies = out.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("shard", "position", "words"))).alias("copies"))
+    none = F.array().cast("array<struct<shard:int,position:bigint,words:bigint>>")
     return (
-        rows.join(out.groupBy("row").agg(F.sum("words").alias("taken")), "row", "left")
-        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+        rows.join(copies, "row", "left").withColumn("copies", F.coalesce("copies", none))
+        .select("doc_id", "size", "source_size", "target",
+                F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["words"]).alias("taken"), "copies")
     )
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: one row of ``docs`` per copy taken, text cut where only a
-    part was taken, with ``mix_shard`` and ``mix_position``."""
+    """The mix itself: one row of ``docs``, with its whole text, per copy taken,
+    and its ``mix_shard`` and ``mix_position``."""
     stored = checkpointed(docs.withColumn("mix_row", F.monotonically_increasing_id()))
-    sizes = checkpointed(stored.select(F.col("mix_row").alias("row"), "doc_id", "source", n_words("text").alias("size")))
-    _, out = draws(sizes, **options)
-    pieces = F.regexp_extract_all(whole("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    part = F.array_join(F.slice(pieces, 1, F.col("mix_words").cast("int")), "")
-    return (
-        stored.join(sizes.select(F.col("row").alias("mix_row"), F.col("size").alias("mix_size"))
-                    .join(out.select(F.col("row").alias("mix_row"), F.col("shard").alias("mix_shard"),
-                                     F.col("words").alias("mix_words"), F.col("position").alias("mix_position")), "mix_row"),
-                    "mix_row")
-        .withColumn("text", F.when(F.col("mix_words") < F.col("mix_size"), part).otherwise(F.col("text")))
-        .drop("mix_row", "mix_size", "mix_words")
-    )
+    _, out = draws(checkpointed(_marked(stored, F.col("mix_row").alias("row"))), **options)
+    places = out.select(F.col("row").alias("mix_row"), F.col("shard").alias("mix_shard"), F.col("position").alias("mix_position"))
+    return stored.join(places, "mix_row").drop("mix_row")

@@ -47,7 +47,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_mixing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    copy = lambda c: F.concat_ws(":", c["shard"], c["position"], c["words"])
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).withColumn(
+        "copies", F.array_join(F.transform("copies", copy), ","))
 
 
 @query("op5_line_dedup", line_dedup.ORACLE)
