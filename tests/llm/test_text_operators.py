@@ -117,6 +117,43 @@ def test_licenses(docs):
     assert licenses.license_scan(docs([])).count() == 0
 
 
+def notices():
+    gpl = ("This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published "
+           "by the Free Software Foundation; {2}.")
+    bsd = [licenses.SENTENCES[x] for x in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")]
+    return [
+        (". ".join(bsd).replace("the copyright holder nor", "Google Inc. nor"), "BSD-3-Clause"),
+        (gpl.format("program", "General Public License", "version 2 of the License"), "GPL-2.0"),
+        ("# " + gpl.format("program", "General Public License version 2", "no more"), "GPL-2.0"),
+        (gpl.format("library", "Lesser General Public License", "either\n * version 2.1 of the License, or (at your option) any later version"), "LGPL-2.1"),
+        (gpl.format("tool", "Affero General Public License", "either version 3 of the License, or (at your option) any later version"), "AGPL-3.0"),
+        ("// SPDX-License-Identifier: LGPL-2.1-only", "LGPL-2.1"), ("SPDX-License-Identifier: AGPL-3.0-or-later", "AGPL-3.0"),
+        ("x\n# SPDX-License-Identifier: EPL-2.0 OR GPL-2.0+ WITH Classpath-exception-2.0\nLicensed under the MIT license", "EPL-2.0,GPL-2.0,MIT"),
+        ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, "
+         "provided that the above copyright notice and this permission notice appear in all copies.", "ISC"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "0BSD"),
+        ("This is not licensed under the MIT License.", ""), ("It isn't licensed under the MIT License.", ""),
+        ("Not licensed under the MIT License. Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+        ("Made available under the terms of the Eclipse Public License v1.0 which accompanies it", "EPL-1.0"),
+        ("The contents are subject to the Mozilla Public License Version 1.1", "MPL-1.1"),
+        ("Licensed under the GNU Lesser General Public License, version 3", "LGPL-3.0"),
+    ]
+
+
+def test_licenses_with_slots_versions_and_denials(docs):
+    import duckdb
+
+    table = [(k, t) for k, (t, _) in enumerate(notices())]
+    table += [(100, APACHE), (101, None), (102, ""), (103, "licence \x1e words " * 50), (104, APACHE), (104, APACHE)]
+    found = licenses.license_scan(docs(table)).collect()
+    got = rows(licenses.license_scan(docs(table)))
+    assert [(k, got[k].licenses) for k in range(len(notices()))] == [(k, x) for k, (_, x) in enumerate(notices())]
+    documents = docs(table).select("doc_id", "text").toPandas()  # noqa: F841 (read by the statement)
+    plain = duckdb.sql(f"SELECT doc_id, n_known, sentences, licenses FROM ({licenses.oracle()})").fetchall()
+    assert sorted(map(tuple, found)) == sorted(plain)
+
+
 APACHE = """/*
  * Copyright (C) 2020 Foo
  *
