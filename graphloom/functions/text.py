@@ -26,13 +26,15 @@ def pii_counts(text: Column, patterns: dict[str, str] | None = None) -> list[Col
     return [F.size(F.regexp_extract_all(text, F.lit(rx), F.lit(0))).cast("long").alias(kind) for kind, rx in found.items()]
 
 
-def sensitivity(text: Column) -> Column:
-    """restricted > confidential > internal > public (TX8)."""
+def sensitivity(text: Column, custom: list[tuple[str, str]] | None = None) -> Column:
+    """restricted > confidential > internal > public (TX8); ``custom`` patterns
+    are further finds of a known kind, as (kind, regex) (UD2)."""
 
     def any_of(*kinds: str) -> Column:
         out = F.lit(False)
-        for k in kinds:
-            out = out | text.rlike(dims.PII_PATTERNS[k])
+        for k, rx in [*dims.PII_PATTERNS.items(), *(custom or [])]:
+            if k in kinds:
+                out = out | text.rlike(rx)
         return out
 
     return (

@@ -42,7 +42,8 @@ def signature_changes(old: DataFrame, new: DataFrame) -> DataFrame:
         F.when(fn & shared & differs("params"), F.concat(F.lit("params changed: "), "name")),
         F.when(fn & shared & differs("return_type"), F.concat(F.lit("return type changed: "), "name")),
         F.when((fn | cls) & shared & differs("exported"), F.concat(F.lit("export status changed: "), "name")),
-        F.when(fn & shared & (c("o_n_lines") > 0) & ((ratio > 1.5) | (ratio < 0.5)), F.concat(F.lit("significant size change: "), "name")),
+        F.when(fn & shared & (c("o_n_lines") > 0) & ((ratio > 1.5) | (ratio < 0.5)), F.concat(
+            F.lit("significant size change: "), "name", F.lit(" ("), "o_n_lines", F.lit(" → "), "n_n_lines", F.lit(" lines)"))),
         F.when(cls & added, F.concat(F.lit("new class: "), "name")),
         F.when(cls & removed, F.concat(F.lit("removed class: "), "name")),
         F.when(cls & shared & ordered("methods"), F.concat(F.lit("methods changed: "), "name")),
@@ -78,6 +79,31 @@ def classify_changes(
     return marked.select("path", status.alias("status"))
 
 
+# Details of changed files without signature-level differences.
+UNKNOWN = "no structural analysis available — conservative classification"
+INTERNAL = "internal logic changed (no structural impact)"
+
+
+def change_details(
+    old_files: DataFrame, new_files: DataFrame, old_signatures: DataFrame, new_signatures: DataFrame
+) -> DataFrame:
+    """``(path, level, detail)`` of the files on both sides whose contents differ
+    (FN9): STRUCTURAL with one row per difference, also for a file that either
+    side could not analyse, else COSMETIC."""
+    pairs = (
+        old_files.select("path", F.col("content_hash").alias("_oh"), F.col("has_structural").alias("_os"))
+        .join(new_files.select("path", F.col("content_hash").alias("_nh"), F.col("has_structural").alias("_ns")), "path")
+        .filter("_oh <> _nh").select("path", F.coalesce(F.col("_os") & F.col("_ns"), F.lit(False)).alias("known"))
+    )
+    known = pairs.filter("known").select("path")
+    details = signature_changes(
+        old_signatures.join(known, "path", "left_semi"), new_signatures.join(known, "path", "left_semi"))
+    other = F.when(F.col("known"), INTERNAL).otherwise(UNKNOWN)
+    return pairs.join(details, "path", "left").select(
+        "path", F.when(F.col("known") & F.col("detail").isNull(), "COSMETIC").otherwise("STRUCTURAL").alias("level"),
+        F.coalesce("detail", other).alias("detail"))
+
+
 def update_decision(changes: DataFrame, known_files: DataFrame) -> DataFrame:
     """One row ``(action, structural, total)`` (GA25); ``known_files(path)``
     are the files of the stored graph."""

@@ -74,6 +74,36 @@ def definitions(corpus: DataFrame, rules: list[tuple[str, str, str]] | None = No
     return plain.select("path", "kind", "name", "line_no").unionByName(named.select("path", "kind", "name", "line_no"))
 
 
+def graphql_endpoints(corpus: DataFrame) -> DataFrame:
+    """``(path, method, name, line_no)``: the fields of the root types (TX4).
+
+    A block opens at the brace after ``type Query``, ``Mutation`` or
+    ``Subscription`` and ends with the brace that closes it; the first word of
+    each of its lines is an endpoint. A fold over the lines of one document, so
+    no shuffle is needed.
+    """
+    lines = F.split("content", "\n")
+    opening = r"^type\s+(Query|Mutation|Subscription)\s*\{"
+    count = lambda s, mark: F.length(s) - F.length(F.replace(s, F.lit(mark)))
+    none = F.array().cast("array<struct<method:string,name:string,line_no:int>>")
+
+    def step(acc: Column, item: Column) -> Column:
+        inside, opened = acc["depth"] > 0, F.regexp_extract(item["line"], opening, 1)
+        method = F.when(inside, acc["method"]).otherwise(opened)
+        body = F.when(inside, item["line"]).otherwise(F.regexp_replace(item["line"], opening, ""))
+        depth = F.when(inside, acc["depth"]).otherwise(1) + count(body, "{") - count(body, "}")
+        name = F.regexp_extract(body, r"^\s*(\w+)", 1)
+        found = F.struct(method.alias("method"), name.alias("name"), item["line_no"].alias("line_no"))
+        return F.when(~inside & (opened == ""), acc).otherwise(F.struct(
+            method.alias("method"), F.greatest(F.lit(0), depth).alias("depth"),
+            F.when(name != "", F.array_append(acc["out"], found)).otherwise(acc["out"]).alias("out")))
+
+    numbered = F.transform(lines, lambda s, i: F.struct(s.alias("line"), (i + 1).alias("line_no")))
+    start = F.struct(F.lit("").alias("method"), F.lit(0).alias("depth"), none.alias("out"))
+    return corpus.filter("language = 'graphql'").select(
+        "path", F.inline(F.aggregate(numbered, start, step, lambda acc: acc["out"])))
+
+
 def _finds(lang: str, kind: str, rx: str) -> Column:
     """Every match of one rule in a line, as structs of kind and name."""
     form = NAME_FORMS.get((lang, kind), lambda one, two: one)

@@ -215,10 +215,7 @@ def crystallise(members: DataFrame, group: str) -> tuple[DataFrame, DataFrame, D
             F.struct("id", F.substring("content", 1, 120).alias("summary")), F.struct(F.col("access_count"), -F.col("seq"))
         ).alias("top"),
     )
-    common = (
-        _tag_counts(members, group).join(sizes.select(group, "n"), group)
-        .filter(F.col("n_tag") >= F.ceil(F.col("n") / 2)).select(group, "tag", "n_tag", "first_at")
-    )
+    common = _common_tags(members, group, sizes)
     title = common.groupBy(group).agg(F.min_by("tag", "first_at").alias("first_tag"))
     lessons = sizes.join(title, group, "left").select(
         group, "n", "confidence", F.col("top.id").alias("top_id"), F.col("top.summary").alias("summary"),
@@ -231,6 +228,31 @@ def crystallise(members: DataFrame, group: str) -> tuple[DataFrame, DataFrame, D
     return lessons, common.select(group, "tag", "n_tag"), examples
 
 
+def _common_tags(members: DataFrame, group: str, sizes: DataFrame) -> DataFrame:
+    return (
+        _tag_counts(members, group).join(sizes.select(group, "n"), group)
+        .filter(F.col("n_tag") >= F.ceil(F.col("n") / 2)).select(group, "tag", "n_tag", "first_at")
+    )
+
+
+def lesson_contents(members: DataFrame, group: str, parts: dict[str, Column], template: Column) -> DataFrame:
+    """Contents of lessons by a template of the caller's (UD1).
+
+    ``parts`` are named aggregates over the rows of a group, which combine before
+    the shuffle; ``template`` is a Column over these names, the group and
+    ``tags``, the common tags in order of first sight (half of the rows carry
+    each, so they are few).
+    """
+    sizes = members.groupBy(group).agg(F.count("*").alias("n"))
+    tags = _common_tags(members, group, sizes).groupBy(group).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("first_at", "tag"))), lambda t: t["tag"]).alias("tags"))
+    told = members.groupBy(group).agg(*[part.alias(name) for name, part in parts.items()])
+    return (
+        told.join(tags, group, "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+        .select(group, template.alias("content"))
+    )
+
+
 def consolidate(
     lessons: DataFrame, based_on: DataFrame, examples: DataFrame, more: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:

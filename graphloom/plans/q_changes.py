@@ -49,6 +49,19 @@ def _(get):
     )
 
 
+@query(
+    "fn9_change_details",
+    f"""WITH {O_SIG}, o_both AS (SELECT path, NOT ends_with(path, '3') AS known FROM o_ch)
+    SELECT b.path, CASE WHEN known AND detail IS NULL THEN 'COSMETIC' ELSE 'STRUCTURAL' END AS level,
+      coalesce(detail, CASE WHEN known THEN 'internal logic changed (no structural impact)' ELSE 'no structural analysis available — conservative classification' END) AS detail
+    FROM o_both b LEFT JOIN o_det d ON d.path = b.path AND b.known""",
+)
+def _(get):
+    old, new = get("v_old_files"), get("v_new_files")
+    partly = _hashed(new).withColumn("has_structural", ~F.col("path").endswith("3"))
+    return changes.change_details(_hashed(old), partly, _signatures(old), _signatures(new))
+
+
 @query("st6_change_sets", f"WITH {O_SIG} SELECT path, status FROM o_st")
 def _(get):
     return _statuses(get)

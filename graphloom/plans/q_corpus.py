@@ -278,6 +278,22 @@ def _(get):
     return corpus.definitions(get("v_corpus")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
+VIEWS["v_schemas"] = """SELECT 'gql/s' || CAST(doc_id AS STRING) || '.graphql' AS path, 'graphql' AS language,
+  'type ' || CASE doc_id % 4 WHEN 0 THEN 'Query' WHEN 1 THEN 'Mutation' WHEN 2 THEN 'Subscription' ELSE 'Thing' END || ' {' || chr(10)
+  || translate(text, '{}', '()') || chr(10) || '  deep(a: In = { b: 1 }): Int' || chr(10) || '}' || chr(10) || 'loose line' AS content FROM documents"""
+
+
+@query(
+    "tx4_graphql_endpoints",
+    """WITH o_l AS (SELECT path, substr(string_split(content, ' ')[2], 1) AS method, unnest(string_split(content, chr(10))) AS line,
+       generate_subscripts(string_split(content, chr(10)), 1) AS line_no, len(string_split(content, chr(10))) AS n FROM v_schemas)
+    SELECT path, method, regexp_extract(line, '^\\s*(\\w+)', 1) AS name, line_no::BIGINT AS line_no FROM o_l
+    WHERE method IN ('Query', 'Mutation', 'Subscription') AND line_no > 1 AND line_no < n - 1 AND regexp_matches(line, '^\\s*\\w')""",
+)
+def _(get):
+    return corpus.graphql_endpoints(get("v_schemas")).withColumn("line_no", F.col("line_no").cast("long"))
+
+
 @query(
     "tx5_entry_points",
     f"""WITH {O_LINES} SELECT path, line_no, 'manual' AS kind, 'export async function handleIt' AS match FROM o_ln WHERE language = 'typescript'""",
@@ -425,6 +441,17 @@ def _(get):
     return get("documents").select("doc_id", text.sensitivity(F.col("text")).alias("level"))
 
 
+@query(
+    "ud2_custom_sensitivity",
+    f"""SELECT doc_id, CASE WHEN {_any('creditcard','ssn','apikey')} THEN 'restricted'
+      WHEN {_any('email','phone')} OR regexp_matches(text, '\\b(?:the|and) [a-m]') THEN 'confidential'
+      WHEN {_any('ipv4','url')} OR regexp_matches(text, '[.] [A-F]') THEN 'internal' ELSE 'public' END AS level FROM documents""",
+)
+def _(get):
+    custom = [("phone", r"\b(?:the|and) [a-m]"), ("url", "[.] [A-F]")]
+    return get("documents").select("doc_id", text.sensitivity(F.col("text"), custom).alias("level"))
+
+
 _red = " UNION ALL ".join(
     f"""SELECT doc_id, {n} AS place, '[REDACTED_{k.upper()}]' AS shown, p + 1 AS i,
         string_split_regex(text, '{rx}')[p + 1] AS gap, regexp_extract_all(text, '{rx}')[p + 1] AS hit

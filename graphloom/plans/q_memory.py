@@ -201,6 +201,20 @@ def _(get):
     return lessons.select("scope", "n", F.round("confidence", 6).alias("confidence"), "top_id", "title")
 
 
+@query(
+    "ud1_lesson_contents",
+    f"""WITH {O_GA14}, o_tags AS (SELECT scope, string_agg(tag, ', ' ORDER BY f, tag) AS tags FROM o_cm GROUP BY 1)
+    SELECT v.scope, count(*) || ' entries, first ' || arg_min(id, seq) || ', on ' || coalesce(any_value(t.tags), 'nothing') AS content
+    FROM v_memory v LEFT JOIN o_tags t ON t.scope = v.scope GROUP BY 1""",
+)
+def _(get):
+    tags = F.when(F.size("tags") > 0, F.array_join("tags", ", ")).otherwise("nothing")
+    return mem.lesson_contents(
+        get("v_memory"), "scope", {"n": F.count("*"), "first": F.min_by("id", "seq")},
+        F.concat("n", F.lit(" entries, first "), "first", F.lit(", on "), tags),
+    )
+
+
 @query("ga14_common_tags", f"WITH {O_GA14} SELECT scope, tag, n_tag FROM o_cm")
 def _(get):
     return mem.crystallise(get("v_memory"), "scope")[1]

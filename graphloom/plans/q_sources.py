@@ -87,3 +87,27 @@ def _(get):
         nodes.sparkSession.read.schema(graph_json.GRAPH).json(path).withColumn("file", F.col("_metadata.file_name"))
     )
     return graph_json.graph_tables(back)["nodes"].select("id", "type", "name", "file_path")
+
+
+@query(
+    "io3_batch_edges",
+    """SELECT (seq % (SELECT count(*) // 512 + 1 FROM v_edges))::INT AS batch, (seq // 7 % 2 + 1)::INT AS part, source, target, type, direction FROM v_edges""",
+)
+def _(get):
+    edges = get("v_edges")
+    path = _folder(edges, "batches")
+    # as many batches of two parts as keep each part at about 256 edges
+    batches = edges.count() // 512 + 1
+    part = F.floor(F.col("seq") / 7) % 2 + 1
+    edge = F.struct("source", "target", "type", "direction", "weight")
+    none = F.array().cast("array<struct<id:string>>")
+    parts = edges.groupBy(F.concat(F.lit("batch-"), F.col("seq") % batches, F.lit("-part-"), part, F.lit(".json")).alias("name")).agg(
+        F.to_json(F.struct(none.alias("nodes"), F.collect_list(edge).alias("edges"))).alias("value"))
+    # a malformed file beside every batch, and files of other names, must not count
+    broken = parts.select(F.regexp_replace("name", "part-.*", "part-77.json").alias("name"), F.lit("{broken").alias("value")).distinct()
+    other = parts.select(F.concat(F.lit("other-"), "name").alias("name"), "value")
+    parts.unionByName(broken).unionByName(other).write.partitionBy("name").text(path)
+    docs = graph_json.read_batches(edges.sparkSession, path, nested=True)
+    found = graph_json.graph_tables(docs)["edges"]
+    numbers = docs.select("file", "batch", "part").distinct()
+    return found.join(numbers, "file").select("batch", "part", "source", "target", "type", "direction")

@@ -19,12 +19,16 @@ GRAPH = (
 BATCH_NAME = r"batch-(\d+)(?:-part-(\d+))?\.json$"
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, nested: bool = False) -> DataFrame:
     """One row per readable document with its file name; malformed files and
-    documents without node and edge arrays are left out."""
+    documents without node and edge arrays are left out. With ``nested`` the
+    folders below are read too, and a document in a folder named as a file
+    (``batch-1.json/``, ``name=batch-1.json/``), as Spark writes it, has its name."""
+    folder = F.regexp_extract("_metadata.file_path", r"([^/=]+\.json)/[^/]+$", 1)
+    name = F.coalesce(F.nullif(folder, F.lit("")), "_metadata.file_name") if nested else F.col("_metadata.file_name")
     raw = (
-        spark.read.schema(GRAPH).option("mode", "PERMISSIVE").option("multiLine", True).json(path)
-        .withColumn("file", F.col("_metadata.file_name"))
+        spark.read.schema(GRAPH).option("mode", "PERMISSIVE").option("multiLine", True)
+        .option("recursiveFileLookup", nested).json(path).withColumn("file", name)
     )
     return raw.filter("_corrupt_record IS NULL AND nodes IS NOT NULL AND edges IS NOT NULL").drop("_corrupt_record")
 
@@ -53,9 +57,9 @@ def graph_tables(documents: DataFrame) -> dict[str, DataFrame]:
     return {"nodes": nodes, "edges": edges, "layer_members": layers, "tour_members": tour}
 
 
-def read_batches(spark: SparkSession, folder: str) -> DataFrame:
+def read_batches(spark: SparkSession, folder: str, nested: bool = False) -> DataFrame:
     """Batch documents with batch and part numbers; other file names are ignored (IO3)."""
-    docs = read_documents(spark, folder).filter(F.col("file").rlike("^" + BATCH_NAME))
+    docs = read_documents(spark, folder, nested).filter(F.col("file").rlike("^" + BATCH_NAME))
     part = F.nullif(F.regexp_extract("file", BATCH_NAME, 2), F.lit(""))
     return docs.withColumns(
         {"batch": F.regexp_extract("file", BATCH_NAME, 1).cast("int"), "part": part.try_cast("int")}
