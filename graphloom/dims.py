@@ -227,3 +227,20 @@ DEFAULT_IGNORES = [
     ".idea/", ".vscode/",
     "LICENSE", ".gitignore", ".editorconfig", ".prettierrc", ".eslintrc*", "*.log",
 ]
+
+# Files that declare the packages of Python projects.
+PYTHON_MANIFESTS = ["requirements.txt", "pyproject.toml", "setup.py", "setup.cfg", "Pipfile"]
+# Frameworks, their manifests and the words that give them away.
+FRAMEWORKS = {
+    "django": (PYTHON_MANIFESTS, ["django", "djangorestframework", "django-rest-framework", "django-cors-headers", "django-filter"]),
+    "fastapi": (PYTHON_MANIFESTS, ["fastapi", "uvicorn", "starlette"]),
+    "flask": (PYTHON_MANIFESTS, ["flask", "flask-restful", "flask-sqlalchemy", "flask-marshmallow", "flask-wtf"]),
+    "react": (["package.json"], ["react", "react-dom", "@types/react"]),
+    "nextjs": (["package.json"], ['"next":', "@next/font", "@next/image"]),
+    "express": (["package.json"], ['"express":', "express-validator", "express-session"]),
+    "vue": (["package.json"], ["vue", "@vue/cli-service", "nuxt", "vite-plugin-vue"]),
+    "spring": (["pom.xml", "build.gradle", "build.gradle.kts"],
+               ["spring-boot", "spring-boot-starter", "spring-web", "spring-data", "org.springframework"]),
+    "rails": (["Gemfile"], ["rails", "railties", "actionpack", "activerecord", "actionview"]),
+    "gin": (["go.mod"], ["github.com/gin-gonic/gin"]),
+}

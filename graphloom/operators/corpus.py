@@ -436,14 +436,20 @@ def concepts(nodes: DataFrame, extra: dict[str, list[str]] | None = None) -> Dat
     return rows.select("id", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("concept"))
 
 
-def frameworks(manifests: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+def frameworks(manifests: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """Frameworks whose keyword occurs in a manifest of the right name (FN15):
-    ``manifests(path, content)``, rules of (framework, file name, keyword)."""
+    ``manifests(path, content)``, rules of (framework, file name, keyword); those
+    of ``dims.FRAMEWORKS`` where none are given."""
+    if rules is None:
+        rules = [(f, name, word) for f, (names, words) in dims.FRAMEWORKS.items() for name in names for word in words]
+    asked: dict[tuple[str, str], list[str]] = {}
+    for framework, name, word in rules:
+        asked.setdefault((framework, name), []).append(re.escape(word.lower()))
     base = F.element_at(F.split("path", "/"), -1)
     hits = F.array(
         *[
-            F.when((base == name) & F.lower("content").contains(word.lower()), F.lit(framework))
-            for framework, name, word in rules
+            F.when((base == name) & F.lower("content").rlike("|".join(words)), F.lit(framework))
+            for (framework, name), words in asked.items()
         ]
     )
     return manifests.select(F.explode(F.array_distinct(F.filter(hits, lambda h: h.isNotNull()))).alias("framework")).distinct()

@@ -151,6 +151,23 @@ def _(get):
     return corpus.frameworks(get("v_manifests"), _FW)
 
 
+_KEYS = [(f, name, word) for f, (names, words) in dims.FRAMEWORKS.items() for name in names for word in words]
+VIEWS["v_known_manifests"] = """SELECT 'svc' || CAST(p_partkey AS STRING) || '/' || CASE p_partkey % 6 WHEN 0 THEN 'requirements.txt'
+ WHEN 1 THEN 'package.json' WHEN 2 THEN 'go.mod' WHEN 3 THEN 'Gemfile' WHEN 4 THEN 'pom.xml' ELSE 'Pipfile' END AS path,
+ p_name || chr(10) || CASE p_partkey % 18 WHEN 0 THEN 'Flask==2.0' WHEN 6 THEN 'uvicorn[standard]' WHEN 1 THEN '"Express": "^4"'
+ WHEN 7 THEN '"nuxt": 3' WHEN 13 THEN '"next" : 14' WHEN 2 THEN 'require github.com/gin-gonic/gin v1' WHEN 9 THEN 'gem "railsx"'
+ WHEN 10 THEN 'org_springframework' WHEN 5 THEN 'react' ELSE 'none' END AS content FROM part"""
+
+
+@query(
+    "fn15_known_frameworks",
+    f"""SELECT DISTINCT f AS framework FROM v_known_manifests, (VALUES {", ".join(f"('{f}', '{n}', '{w}')" for f, n, w in _KEYS)}) AS r(f, n, k)
+    WHERE path LIKE '%/' || n AND contains(lower(content), k)""",
+)
+def _(get):
+    return corpus.frameworks(get("v_known_manifests"))
+
+
 @query(
     "fn20_character_vector",
     """WITH o_ch AS (SELECT id, unnest(string_split(lower(content), '')) AS ch FROM v_memory),
