@@ -16,6 +16,9 @@ rows, and of those only as many as join something.
 
 from __future__ import annotations
 
+import functools
+import functools
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -75,6 +78,17 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.unique(key)
 
 
+def _lenders(bucket: np.ndarray, turn: int, p: int) -> np.ndarray:
+    """The bucket that an empty one borrows from at a turn."""
+    return (mixed64((bucket.astype(np.uint64) << np.uint64(32)) + np.uint64(turn)) >> np.uint64(64 - p)).astype(np.int64)
+
+
+@functools.lru_cache(maxsize=4)
+def _lender_table(p: int) -> list[np.ndarray]:
+    """The lenders of all buckets at the first turns (4 MB for 512 buckets)."""
+    return [_lenders(np.arange(1 << p), turn, p).astype(np.uint16) for turn in range(1, 4097)]
+
+
 def registers(values: np.ndarray, p: int = P, r: int = R) -> np.ndarray:
     """HyperMinHash registers of sorted distinct hashes: leading zeros above ``r``
     bits of mantissa, the largest zero count and then the smallest mantissa."""
@@ -88,11 +102,10 @@ def registers(values: np.ndarray, p: int = P, r: int = R) -> np.ndarray:
     out = np.full(1 << p, -1, np.int64)
     out[bucket] = zeros << r | mantissa
     empty = np.flatnonzero(out < 0)
-    full, turn = out.copy(), 0
+    full, turn, table = out.copy(), 0, _lender_table(p)
     while len(empty):  # borrow from buckets met in a fixed pseudo-random order
         turn += 1
-        source = mixed64((empty.astype(np.uint64) << np.uint64(32)) + np.uint64(turn)) >> np.uint64(64 - p)
-        value = full[source.astype(np.int64)]
+        value = full[table[turn - 1][empty] if turn <= len(table) else _lenders(empty, turn, p)]
         out[empty] = value
         empty = empty[value < 0]
     return out.astype(np.uint16)
